@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftforge.llm.common import arrow_rows, blobs, ints, keyed, pow2, small_batches
+from driftforge.llm.common import arrow_rows, blobs, cut, ints, keyed, pow2, small_batches
 
 #: Tokens that are hashed at once; longer documents are hashed in overlapping pieces.
 CHUNK = 1 << 19
@@ -294,11 +294,12 @@ def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int
     packed = text.mapInArrow(lambda it: (y for x in it for y in _pack(x, plan, bits, packed_schema)), "bucket long, bid long, kind int, a binary, b binary, c binary")
     told = packed.groupBy("bucket").applyInPandas(_shared, "bid long, kind int, a binary, b binary, c binary")
     lists = told.groupBy("bid").applyInPandas(_by_document, "did long, rk long, shared binary").groupBy("did", "rk").agg(F.collect_list("shared").alias("shared"))
+    lists = cut(lists, "anchors")
     snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.binary())])
     found = text.join(lists, ["did", "rk"]).mapInArrow(lambda it: (y for x in it for y in _snippets(x, plan, bits, snippet_schema)), "h long, snippet binary, did long, rk long, lo long, hi long, done binary")
     range_schema = pa.schema([("did", pa.int64()), ("rk", pa.int64()), ("ranges", pa.binary())])
     settled = found.repartition("h").sortWithinPartitions("h", "snippet", "did").mapInArrow(lambda it: _settle(it, plan, repeated, shard, range_schema), "did long, rk long, ranges binary")
-    return settled.groupBy("did", "rk").agg(F.collect_list("ranges").alias("ranges"))
+    return cut(settled, "ranges").groupBy("did", "rk").agg(F.collect_list("ranges").alias("ranges"))
 
 
 def covered(ranges: list[bytes] | None, n: int, width: int) -> np.ndarray:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id inside the operators: larger than any other id, so it is never "the smaller document".
 NO_ID = 2**63 - 1
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,7 +39,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: later work neither recomputes nor loses it with an executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    # what the written plan shuffled is not read again
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
