@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -192,17 +193,17 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"did": ids[0][doc[start]], "rk": ids[1][doc[start]], "shared": [x.tobytes() for x in parts]})
 
 
-def _ranges(lo: list[int], hi: list[int]) -> bytes:
-    """Inclusive ranges of window starts, neighbours merged."""
-    a = np.array(sorted(zip(lo, hi, strict=True)), np.int64).reshape(-1, 2)
-    top = np.maximum.accumulate(a[:, 1])
-    new = np.concatenate(([True], a[1:, 0] > top[:-1] + 1))
-    first = np.flatnonzero(new)
-    return np.stack((a[first, 0], np.maximum.reduceat(a[:, 1], first)), 1).astype("<i8").tobytes()
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Inclusive ranges of window starts as longs, first << 32 | last, neighbours merged."""
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > top[:-1] + 1)))
+    last = np.concatenate((first[1:], [len(lo)])) - 1
+    return lo[first] << 32 | top[last]
 
 
 def _snippets(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    did, rk, texts = ints(batch, "did"), ints(batch, "rk"), blobs(batch, "text")
+    did, rk, texts = ints(batch, "did").tolist(), ints(batch, "rk").tolist(), blobs(batch, "text")
     shared = [[np.frombuffer(y, np.uint64) for y in x] for x in batch.column(batch.schema.get_field_index("shared")).to_pylist()]
     shared = [np.unique(np.concatenate(x)) for x in shared]
     found: dict[tuple[int, bytes], list] = {}
@@ -218,74 +219,101 @@ def _snippets(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -
             if d != cut_of:
                 cut, cut_of = plan.cutter(texts[d]), d
             found.setdefault((x, cut(f, t + plan.width)), []).append((d, f, t))
-    out: dict[str, list] = {f.name: [] for f in schema}
-    covered: dict[int, tuple[list, list]] = {}
+    rows: list[tuple] = []
+    settled: dict[int, list] = {}
     for (x, snippet), where in found.items():
-        least = min(int(did[d]) for d, _, _ in where)
+        least = min(did[d] for d, _, _ in where)
         for d, f, t in where:
             if did[d] > least:
-                lo, hi = covered.setdefault(d, ([], []))
-                lo.append(f)
-                hi.append(t)
+                settled.setdefault(d, []).append((f, t))
             else:
-                for name, v in zip(out, (x, snippet, int(did[d]), int(rk[d]), f, t, None), strict=True):
-                    out[name].append(v)
-    for d, (lo, hi) in covered.items():
-        for name, v in zip(out, (int(rk[d]), b"", int(did[d]), int(rk[d]), 0, 0, _ranges(lo, hi)), strict=True):
-            out[name].append(v)
-    yield from arrow_rows(out, schema)
-
-
-def _settle(batches: Iterator[pa.RecordBatch], plan: Plan, repeated: Callable, shard: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows come in ascending (anchor, snippet, document). repeated(snippets, documents) -> window starts, by snippet, that a smaller document has."""
-    names = ("h", "snippet", "did", "rk", "lo", "hi", "done")
-    held: list[tuple] = []  # of distinct snippets: snippet, document, [(rk, lo)]
-    group: list[tuple] = []  # the same, of one anchor
-    size, last, out = 0, None, []
-
-    def close() -> int:
-        """Only where an anchor has two different snippets can they share a window."""
-        n = sum(len(x[0]) for x in group) if len(group) > 1 else 0
-        if n:
-            held.extend(group)
-        group.clear()
-        return n
-
-    def settle() -> None:
-        for (s, d, rows), starts in zip(held, repeated([x[0] for x in held], [x[1] for x in held]), strict=True):
-            if len(starts):
-                for rk, lo in rows:
-                    out.append((d, rk, _ranges((starts + lo).tolist(), (starts + lo).tolist())))
-        held.clear()
-
+                rows.append((x, snippet, did[d], rk[d], f, t, None))
+    for d, ranges in settled.items():
+        a = np.array(ranges, np.int64)
+        rows.append((rk[d], b"", did[d], rk[d], 0, 0, _spans(a[:, 0], a[:, 1]).tobytes()))
+    for at in range(0, len(rows), 20_000):
+        yield from arrow_rows(dict(zip(schema.names, zip(*rows[at : at + 20_000], strict=True), strict=True)), schema)
+
+
+class _Shards:
+    """Whole anchors of one task go in, (did, rk, span) come out."""
+
+    def __init__(self, repeated: Callable, shard: int) -> None:
+        self.repeated, self.shard = repeated, shard
+        self.snippets: list[bytes] = []
+        self.documents: list[int] = []
+        self.rows: list[tuple[int, int, int]] = []  # snippet's number, rk, lo
+        self.size = 0
+
+    def take(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        done = rows.column("done").is_valid().to_numpy()
+        if done.any():
+            own = rows.filter(pa.array(done))
+            spans = [np.frombuffer(x, np.int64) for x in own.column("done").to_pylist()]
+            n = [len(x) for x in spans]
+            yield _said(np.repeat(own.column("did").to_numpy(), n), np.repeat(own.column("rk").to_numpy(), n), np.concatenate(spans))
+            rows = rows.filter(pa.array(~done))
+        if not rows.num_rows:
+            return
+        h, did, rk, lo, hi = (rows.column(c).to_numpy() for c in ("h", "did", "rk", "lo", "hi"))
+        text = rows.column("snippet").combine_chunks()
+        new_h = np.concatenate(([True], h[1:] != h[:-1]))
+        new = new_h.copy()
+        new[1:] |= pc.not_equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        later = did > did[first][run]
+        if later.any():  # the whole snippet is in a smaller document
+            yield _said(did[later], rk[later], lo[later] << 32 | hi[later])
+        # only where an anchor has two different snippets can they share a window
+        anchor = np.cumsum(new_h)[first]
+        many = np.bincount(anchor)[anchor] > 1
+        number = np.cumsum(many) - 1 + len(self.snippets)
+        keep = ~later & many[run]
+        self.rows += zip(number[run[keep]].tolist(), rk[keep].tolist(), lo[keep].tolist(), strict=True)
+        more = text.take(pa.array(first[many])).to_pylist()
+        self.snippets += more
+        self.documents += did[first[many]].tolist()
+        self.size += sum(map(len, more)) + len(more)
+        if self.size >= self.shard:
+            yield from self.settle()
+
+    def settle(self) -> Iterator[pa.RecordBatch]:
+        found = self.repeated(self.snippets, self.documents)
+        out: list[tuple] = []
+        for i, rk, lo in self.rows:
+            if len(found[i]):
+                out += [(self.documents[i], rk, x) for x in _spans(found[i] + lo, found[i] + lo).tolist()]
+        self.snippets, self.documents, self.rows, self.size = [], [], [], 0
+        if out:
+            yield _said(*(np.array(x, np.int64) for x in zip(*out, strict=True)))
+
+
+def _said(did: np.ndarray, rk: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(did), pa.array(rk), pa.array(span)], names=["did", "rk", "span"])
+
+
+def _settle(batches: Iterator[pa.RecordBatch], repeated: Callable, shard: int) -> Iterator[pa.RecordBatch]:
+    """Rows come in ascending (anchor, snippet, document)."""
+    shards = _Shards(repeated, shard)
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for h, snippet, did, rk, lo, hi, done in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
-            if done is not None:
-                out.append((did, rk, done))
-                continue
-            if last != (h, snippet):
-                if last is not None and last[0] != h:
-                    size += close()
-                    if size >= shard:
-                        settle()
-                        size = 0
-                last = (h, snippet)
-                group.append((snippet, did, []))
-            if did > group[-1][1]:
-                out.append((did, rk, np.array([lo, hi], "<i8").tobytes()))
-            else:
-                group[-1][2].append((rk, lo))
-        if len(out) >= 20_000:
-            yield from arrow_rows(dict(zip(("did", "rk", "ranges"), zip(*out, strict=True), strict=True)), schema)
-            out.clear()
-    close()
-    settle()
-    if out:
-        yield from arrow_rows(dict(zip(("did", "rk", "ranges"), zip(*out, strict=True), strict=True)), schema)
+        held.append(batch)
+        size += batch.num_rows
+        h = ints(batch, "h")
+        if size < 8192 or h[0] == h[-1]:
+            continue
+        at = int(np.searchsorted(h, h[-1]))
+        yield from shards.take(pa.Table.from_batches([*held[:-1], batch.slice(0, at)]))
+        held, size = [batch.slice(at)], batch.num_rows - at
+    if held:
+        yield from shards.take(pa.Table.from_batches(held))
+    yield from shards.settle()
 
 
 def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int) -> DataFrame:
-    """(did, rk, ranges): for documents with removed windows, a list of blobs of inclusive (first, last) window starts."""
+    """(did, rk, spans): for documents with removed windows, inclusive ranges of window starts, first << 32 | last."""
     spark = docs.sparkSession
     small_batches(spark)
     text = keyed(docs).select("did", "rk", "text")
@@ -297,16 +325,18 @@ def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int
     lists = cut(lists, "anchors")
     snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.binary())])
     found = text.join(lists, ["did", "rk"]).mapInArrow(lambda it: (y for x in it for y in _snippets(x, plan, bits, snippet_schema)), "h long, snippet binary, did long, rk long, lo long, hi long, done binary")
-    range_schema = pa.schema([("did", pa.int64()), ("rk", pa.int64()), ("ranges", pa.binary())])
-    settled = found.repartition("h").sortWithinPartitions("h", "snippet", "did").mapInArrow(lambda it: _settle(it, plan, repeated, shard, range_schema), "did long, rk long, ranges binary")
-    return cut(settled, "ranges").groupBy("did", "rk").agg(F.collect_list("ranges").alias("ranges"))
+    settled = found.repartition("h").sortWithinPartitions("h", "snippet", "did").mapInArrow(lambda it: _settle(it, repeated, shard), "did long, rk long, span long")
+    return cut(settled, "spans").groupBy("did", "rk").agg(F.collect_list("span").alias("spans"))
+
+
+def span_lists(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+    col = batch.column(batch.schema.get_field_index("spans"))
+    values, at, there = col.values.to_numpy(), col.offsets.to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if v else None for a, b, v in zip(at[:-1], at[1:], there, strict=True)]
 
 
-def covered(ranges: list[bytes] | None, n: int, width: int) -> np.ndarray:
+def covered(spans: np.ndarray, n: int, width: int) -> np.ndarray:
     """Which of n tokens a removed window covers."""
-    mark = np.zeros(n + 1, np.int32)
-    for blob in ranges or ():
-        a = np.frombuffer(blob, "<i8").reshape(-1, 2)
-        np.add.at(mark, a[:, 0], 1)
-        np.add.at(mark, np.minimum(a[:, 1] + width, n), -1)
-    return np.cumsum(mark[:-1]) > 0
+    enter = np.bincount(spans >> 32, minlength=n + 1)
+    leave = np.bincount(np.minimum((spans & 0xFFFFFFFF) + width, n), minlength=n + 1)
+    return np.cumsum(enter[:n] - leave[:n]) > 0

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from driftforge.llm.anchors import Plan, covered, repeated_windows
+from driftforge.llm.anchors import Plan, covered, repeated_windows, span_lists
 from driftforge.llm.automaton import SuffixAutomaton
 from driftforge.llm.common import WordHash, arrow_rows, blobs, keyed, table
 
@@ -65,7 +65,7 @@ def repeated(snippets: list[bytes], documents: list[int], width: int = WIDTH) ->
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(did, rk, ranges): see anchors.repeated_windows."""
+    """(did, rk, spans): see anchors.repeated_windows."""
     return repeated_windows(docs, PLAN, repeated, SHARD)
 
 
@@ -73,10 +73,9 @@ def _cut(it: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordB
     for batch in it:
         out: dict[str, list] = {f.name: [] for f in schema}
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        ranges = batch.column(batch.schema.get_field_index("ranges")).to_pylist()
-        for d, x, r in zip(ids, blobs(batch, "text"), ranges, strict=True):
+        for d, x, r in zip(ids, blobs(batch, "text"), span_lists(batch), strict=True):
             words = x.split()
-            kept = list(compress(words, ~covered(r, len(words), WIDTH))) if r else words
+            kept = list(compress(words, ~covered(r, len(words), WIDTH))) if r is not None else words
             body = b" ".join(kept)
             for name, v in (("doc_id", d), ("n_words", len(words)), ("n_removed", len(words) - len(kept)), ("kept_sha256", hashlib.sha256(body).hexdigest()), ("kept", body)):
                 if name in out:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftforge.llm.anchors import Plan, covered, repeated_windows
+from driftforge.llm.anchors import Plan, covered, repeated_windows, span_lists
 from driftforge.llm.common import arrow_rows, blobs, ints, keyed, table
 
 WIDTH = 50
@@ -180,7 +180,7 @@ PLAN = Plan(lambda x: np.frombuffer(x, np.uint8).astype(np.uint64), lambda x: la
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(did, rk, ranges): see anchors.repeated_windows."""
+    """(did, rk, spans): see anchors.repeated_windows."""
     return repeated_windows(docs, PLAN, repeated, SHARD)
 
 
@@ -188,10 +188,9 @@ def _cut(it: Iterator[pa.RecordBatch], schema: pa.Schema, texts: bool) -> Iterat
     for batch in it:
         out: dict[str, list] = {f.name: [] for f in schema}
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        ranges = batch.column(batch.schema.get_field_index("ranges")).to_pylist()
-        for i, (d, x, r) in enumerate(zip(ids, blobs(batch, "text"), ranges, strict=True)):
+        for i, (d, x, r) in enumerate(zip(ids, blobs(batch, "text"), span_lists(batch), strict=True)):
             n, spans, kept = len(x), 0, x
-            if r:
+            if r is not None:
                 gone = covered(r, n, WIDTH)
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
