@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["simhash", "substring", "suffix_array", "packing"]
+MODULES = ["quality", "simhash", "store", "substring", "hosts", "suffix_array", "sharding", "decontaminate", "packing", "licences"]
 
 
 def _gather(name: str) -> dict:
