@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-_EDGE = re.compile(rb"^(.*[A-Za-z0-9\x80-\xff])([!-&(-/:-@[-`{-~]+)$", re.S)
+#: ASCII signs but the apostrophe, which may begin a pre-token of its own.
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters up to here have one lower-case letter each (U+0130 aside) and no decomposed forms to join.
+_LATIN = "\u024f"
+
+
+def _byte_letters() -> dict[int, int]:
+    """Latin-1 code of a byte -> its character in byte-level vocabularies: itself if printable, else 256 and up."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Encoder(dict):
-    """Word -> its ids as little-endian 16-bit integers, remembered up to a bound.
+    """Word -> its ids as little-endian 16-bit integers, remembered for two generations of `bound` words.
 
     The tokenizer drops white space and never joins pre-tokens across it, so the ids of a text are those of its
-    words; it lower-cases, and it cuts letters and digits from the signs after them (the apostrophe aside). Special
-    tokens hold no white space; words with `<|` are encoded as they are.
+    words. It lower-cases, and it parts a letter or digit from the signs after it. A word of Latin letters alone is one
+    pre-token and goes straight to the model; all others go the whole way. Special tokens hold no white space; words
+    with `<|` are encoded as they are.
     """
 
-    bound = 700_000
+    bound = 600_000
 
     def __init__(self, path: str | None = None) -> None:
         super().__init__()
@@ -31,25 +40,36 @@ class Encoder(dict):
         self.tool = Tokenizer.from_file(path or default_path())
         if self.tool.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
+        self.model, self.letters, self.old = self.tool.model, _byte_letters(), {}
 
     def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self._make(word)
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
-        if b"<|" not in word:
-            low = word.lower()
-            m = _EDGE.match(low)
-            if m:
-                ids = self[m[1]] + self[m[2]]
-                self[word] = ids
-                return ids
-            if low != word:
-                ids = self[low]
-                self[word] = ids
-                return ids
-        ids = np.array(self.tool.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
         self[word] = ids
         return ids
 
+    def _make(self, word: bytes) -> bytes:
+        if b"<|" not in word:
+            low = word.lower()
+            core = low.rstrip(_SIGNS)
+            if core.isalpha() and len(core) == len(low):  # ASCII letters alone
+                return self._whole(core.decode())
+            text = core.decode()
+            if text and len(core) < len(low):
+                last = text[-1].lower()[-1]  # lower case may end in a mark
+                if last.isalpha() or last in "0123456789":
+                    return self[core] + self[low[len(core) :]]
+            elif text.isalpha() and max(text) <= _LATIN and "\u0130" not in text:
+                return self._whole(text.lower().encode().decode("latin-1").translate(self.letters))
+        return np.array(self.tool.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _whole(self, letters: str) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(letters)])
+
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftforge.llm.anchors import gram_hashes
-from driftforge.llm.common import arrow_rows, blobs, cut, keyed, new_path, small_batches, table
+from driftforge.llm.common import CLEANUP, arrow_rows, blobs, cut, drop, keyed, new_path, small_batches, table
 from driftforge.llm.encode import encoder
 
 END = 2
@@ -41,6 +41,9 @@ ROLL = 16
 MEAN, MOST = 256, 2048
 
 
+_WRITING = {CLEANUP: "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
 def digest(x: bytes) -> bytes:
     return blake2b(x, digest_size=16).digest()
 
@@ -135,16 +138,16 @@ def _digests(recipe: str = "recipe") -> F.Column:
 
 
 def with_starts(sizes: DataFrame) -> DataFrame:
-    """did, rk, no, n_tokens -> the same and start: tokens of all rows before, in order of (did, rk, no).
+    """did, rk, no, n_tokens -> part (number of a range of did), did, rk, no, start: tokens of all rows before, in order of (did, rk, no).
 
     The sum runs inside ranges of rows; only a total for each range is summed over all.
     """
-    placed = cut(sizes.repartitionByRange("did", "rk", "no").withColumn("part", F.spark_partition_id()), "ranges")
+    placed = cut(sizes.repartitionByRange("did").withColumn("part", F.spark_partition_id()), "ranges")
     totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy("did", "rk", "no").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return running.join(before, "part").select("did", "rk", "no", (F.col("own") + F.col("before")).alias("start"))
+    return running.join(before, "part").select("part", "did", "rk", "no", (F.col("own") + F.col("before")).alias("start"))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
@@ -171,17 +174,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> Non
                 out["root"].append(merkle([recipe[i : i + 16] for i in range(0, len(recipe), 16)]))
             yield from arrow_rows(out, schema)
 
-    rows = encoded.select("doc_id", "did", "rk", "no", "ids", "recipe", "sizes", "n_tokens").join(told, ["did", "rk", "no"])
     spark = docs.sparkSession
     ddl = "doc_id long, did long, rk long, no long, start long, n_tokens long, recipe binary, sizes binary, owned binary, payload binary, root binary"
-    ordered = rows.repartitionByRange("did", "rk", "no").sortWithinPartitions("did", "rk", "no").mapInArrow(build, ddl)
-    from driftforge.llm.common import CLEANUP
-
-    spark.conf.set(CLEANUP, "true")
+    # one shuffle of the ids: both sides are dealt by range, and the merge join leaves each range in order
+    bounds = sorted(r.d for r in told.groupBy("part").agg(F.min("did").alias("d")).collect())
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda d: d <= F.col("did"))).alias("part") if bounds else F.lit(0).alias("part")
+    key = ["part", "did", "rk", "no"]
+    rows = encoded.select("doc_id", "did", "rk", "no", "ids", "recipe", "sizes", "n_tokens", part).repartition("part").hint("merge")
+    rows = rows.join(told.select(part, "did", "rk", "no", "start", "own").repartition("part"), key).drop("part").mapInArrow(build, ddl)
+    for name, value in _WRITING.items():
+        spark.conf.set(name, value)
     try:
-        ordered.write.option("compression", "zstd").parquet(f"{path}/documents")
+        rows.write.option("compression", "zstd").parquet(f"{path}/documents")
     finally:
-        spark.conf.unset(CLEANUP)
+        for name in _WRITING:
+            spark.conf.unset(name)
+    drop(encoded)
     done = spark.read.parquet(f"{path}/documents").select(F.input_file_name().alias("file"), "start", "root")
     leaves = F.array_sort(F.collect_list(F.struct("start", "root")))
     done.groupBy("file").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("documents"), F.sha2(F.concat_ws("", F.transform(leaves, lambda x: F.hex(x["root"]))), 256).alias("root")).write.parquet(f"{path}/manifest")
