@@ -54,17 +54,23 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else digest(b"")
 
 
-def chunk_ends(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
+def chunk_ends(streams: list[bytes]) -> list[list[int]]:
+    """Ends of the chunks of each stream of 16-bit ids, streams hashed side by side."""
+    n = np.array([len(x) // 2 for x in streams], np.int64)
+    stop = np.cumsum(n)
+    ids = np.frombuffer(b"".join(streams), "<u2")
     at = np.empty(0, np.int64)
-    if n > ROLL:
+    if len(ids) > ROLL:
         at = np.flatnonzero((gram_hashes(ids.astype(np.uint64), ROLL) & np.uint64(MEAN - 1)) == 0) + ROLL
-    ends = np.unique(np.concatenate((at[at < n], [n])))
+        # the hashed ids belong to one stream
+        of = np.searchsorted(stop, at - 1, "right")
+        at = at[at - ROLL >= (stop - n)[of]]
+    ends = np.unique(np.concatenate((at, stop)))
     begin = np.concatenate(([0], ends[:-1]))
     if (ends - begin).max(initial=0) > MOST:
         ends = np.unique(np.concatenate([np.append(np.arange(b + MOST, e, MOST), e) for b, e in zip(begin, ends, strict=True)]))
-    return ends
+    cut_ = np.searchsorted(ends, np.concatenate(([0], stop)), "right")
+    return [(ends[a:b] - s).tolist() for a, b, s in zip(cut_[:-1], cut_[1:], stop - n, strict=True)]
 
 
 # crc32 of joined pieces: the first piece's value is carried over the second's zeros, a linear map of 32 bits
@@ -118,13 +124,14 @@ def _encoded(docs: DataFrame, tokenizer: str | None) -> DataFrame:
         enc = encoder(tokenizer)
         for b in it:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for d, k, r, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), blobs(b, "text"), strict=True):
-                raw = enc.ids(x) + END.to_bytes(2, "little")
-                ends = chunk_ends(np.frombuffer(raw, "<u2"))
-                begin = np.concatenate(([0], ends[:-1]))
-                recipe = b"".join(digest(raw[2 * s : 2 * e]) for s, e in zip(begin.tolist(), ends.tolist(), strict=True))
-                for name, v in zip(out, (d, k, r, raw, recipe, (ends - begin).astype("<u4").tobytes(), len(raw) // 2), strict=True):
-                    out[name].append(v)
+            texts, keys = blobs(b, "text"), list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            for at in range(0, len(texts), 64):
+                raws = [enc.ids(x) + END.to_bytes(2, "little") for x in texts[at : at + 64]]
+                for (d, k, r), raw, ends in zip(keys[at : at + 64], raws, chunk_ends(raws), strict=True):
+                    begin = [0, *ends[:-1]]
+                    recipe = b"".join([digest(raw[2 * s : 2 * e]) for s, e in zip(begin, ends, strict=True)])
+                    for name, v in zip(out, (d, k, r, raw, recipe, (np.array(ends) - begin).astype("<u4").tobytes(), len(raw) // 2), strict=True):
+                        out[name].append(v)
             yield from arrow_rows(out, schema)
 
     small_batches(docs.sparkSession)
