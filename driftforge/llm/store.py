@@ -38,7 +38,7 @@ from driftforge.llm.encode import encoder
 END = 2
 ROLL = 16
 #: Ids of a chunk on average (a power of two) and at most.
-MEAN, MOST = 256, 2048
+MEAN, MOST = 512, 4096
 
 
 _WRITING = {CLEANUP: "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
@@ -87,23 +87,23 @@ def _times(m: list[int], v: int) -> int:
 
 
 @cache
-def _over(n: int) -> np.ndarray:
+def _over(n: int) -> list[list[int]]:
     """The map over n zero bytes, as four tables of 256."""
     odd = [0xEDB88320] + [1 << i for i in range(31)]  # over one zero bit
-    m = odd
+    m, have = odd, [1 << i for i in range(32)]
     for _ in range(3):
         m = [_times(m, x) for x in m]
-    have = None
     while n:
         if n & 1:
-            have = m if have is None else [_times(m, x) for x in have]
+            have = [_times(m, x) for x in have]
         m = [_times(m, x) for x in m]
         n >>= 1
-    tables = np.zeros((4, 256), np.uint32)
+    tables = []
     for t in range(4):
-        for bit in range(8):
-            step = 1 << bit
-            tables[t, step : 2 * step] = tables[t, :step] ^ np.uint32((have or [1 << i for i in range(32)])[8 * t + bit])
+        row = [0]
+        for bit in have[8 * t : 8 * t + 8]:
+            row += [x ^ bit for x in row]
+        tables.append(row)
     return tables
 
 
@@ -112,8 +112,8 @@ def crc_join(parts: list[tuple[int, int]]) -> int:
     crc = 0
     for value, n in parts:
         if n:
-            t = _over(n)
-            crc = int(t[0, crc & 255] ^ t[1, crc >> 8 & 255] ^ t[2, crc >> 16 & 255] ^ t[3, crc >> 24]) ^ value
+            a, b, c, d = _over(n)
+            crc = a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24] ^ value
     return crc
 
 
