@@ -25,8 +25,8 @@ from xxhash import xxh32_intdigest
 from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, small_batches, table
 from driftforge.llm.licences import licence_words
 
-LABELLED = 8192
-POOL = 4096
+LABELLED = 6144
+POOL = 3072
 ROUNDS = 3
 #: Pool documents that a classifier hands over in a round, of each kind at most this share, and the surety it needs.
 SHARE, SURE = 0.1, 0.95
@@ -80,10 +80,10 @@ class Sparse:
 
     @classmethod
     def of(cls, rows: list[np.ndarray]) -> Sparse:
-        return cls(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64), np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64))
+        return cls(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64), np.concatenate([*rows, np.empty(0, np.int32)]))
 
     def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        return np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows(), w[self.col], len(self.at) - 1)
@@ -100,8 +100,8 @@ def fit_view(x: Sparse, y: np.ndarray, size: int, steps: int = 150, decay: float
     """Logistic weights over presence scaled by smoothed log-odds; gradient descent with momentum, classes balanced."""
     rows = x.rows()
     pos, neg = y.sum(), len(y) - y.sum()
-    up = np.bincount(x.col, y[rows], size)
-    down = np.bincount(x.col, 1.0 - y[rows], size)
+    on = y[rows] > 0
+    up, down = np.bincount(x.col[on], minlength=size), np.bincount(x.col[~on], minlength=size)
     scale = np.log((up + 1) / (pos + 2)) - np.log((down + 1) / (neg + 2))
     share = pos / max(1, len(y))
     surprise = (up - (up + down) * share) / np.sqrt((up + down) * share * (1 - share) + 1e-9)
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, Model | None]:
     rows = docs.select(F.col("doc_id").cast("long").alias("did"), text, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     got = _featured(rows.join(F.broadcast(wanted), "did").select("did", "quality", "toxic", "text", "lang", "source")).collect()
     got = sorted({r.did: r for r in sorted(got, key=lambda r: (r.did, bytes(r.t)))}.values(), key=lambda r: xxh32_intdigest(str(r.did).encode()))
-    feats = [(np.frombuffer(r.t, "<i4").astype(np.int64), np.frombuffer(r.m, "<i4").astype(np.int64)) for r in got]
+    feats = [(np.frombuffer(r.t, "<i4"), np.frombuffer(r.m, "<i4")) for r in got]
     known = [i for i, r in enumerate(got) if r.quality is not None]
     rest = [i for i, r in enumerate(got) if r.quality is None]
     cols = [[f[v] for f in (feats[i] for i in part)] for part in (known, rest) for v in (0, 1)]
