@@ -41,7 +41,7 @@ class _Features(dict):
     """Word -> three feature numbers in one integer: the word, its first four and its first six bytes."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= 700_000:
+        if len(self) >= 200_000:
             self.clear()
         v = 0
         for k, part in enumerate((w, b"4" + w[:4], b"6" + w[:6])):

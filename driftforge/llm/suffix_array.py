@@ -26,7 +26,7 @@ from driftforge.llm.common import arrow_rows, blobs, ints, keyed, table
 
 WIDTH = 50
 #: Bytes of distinct snippets in a shard.
-SHARD = 3 << 20
+SHARD = 3 << 19
 
 
 def _by_symbol(j: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
