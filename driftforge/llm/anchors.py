@@ -9,6 +9,8 @@ k-grams at equal places. So it is enough to
   4. let a shard operator (suffix array, suffix automaton) find the equal windows of the shard's distinct snippets.
 Anchors that a batch already holds twice, and snippets that it already holds for a smaller document, are settled in
 the batch. So a passage that a third of all documents share costs one row for each batch, not for each document.
+Where such a passage ends, an anchor has as many different snippets as documents. An anchor that HOT batches or more
+hold is therefore brought together window by window, each under a key of its own, so that no task gets it whole.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ from driftforge.llm.common import arrow_rows, blobs, cut, ints, keyed, pow2, sma
 #: Tokens that are hashed at once; longer documents are hashed in overlapping pieces.
 CHUNK = 1 << 19
 PIECE = 1 << 22
+#: Batches from which an anchor is hot; below, it has at most HOT times a batch's rows.
+HOT = 256
+#: Marks a hot anchor; anchors have 32 bits and those of the bucket.
+_MARK = np.uint64(1 << 63)
+#: Rows of one anchor at which a shard lets go of those that are settled.
+COMPACT = 65_536
 NOBODY = np.uint32(0xFFFFFFFF)
 _LO = np.uint64((1 << 24) - 1)
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -43,6 +51,7 @@ class Plan:
     width: int
     k: int
     docs_per_bucket: int = 1024
+    hot: int = HOT
 
 
 def gram_hashes(t: np.ndarray, k: int) -> np.ndarray:
@@ -157,8 +166,11 @@ def _pack(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> It
     yield from arrow_rows(out, schema)
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the entries of each batch whose anchor another batch, or the batch itself, holds too."""
+def _shared(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
+    """Of one bucket: the entries of each batch whose anchor another batch, or the batch itself, holds too.
+
+    Kind 2: a batch's hot anchors.
+    """
     own = pdf[pdf.kind == 1]
     rest = pdf[pdf.kind == 0]
     rows = [own[["bid", "kind", "a", "b", "c"]]]
@@ -178,14 +190,21 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
             b.append(d[hit].tobytes())
             c.append((p[hit].astype(np.uint64) | np.uint64(bucket << 32)).tobytes())
         rows.append(pd.DataFrame({"bid": rest.bid.to_numpy(), "kind": 0, "a": [b""] * len(rest), "b": b, "c": c}))
+        hot = values[count >= most]
+        if len(hot):
+            c = [(x[np.isin(x, hot)].astype(np.uint64) | np.uint64(bucket << 32)).tobytes() for x in uniq]
+            rows.append(pd.DataFrame({"bid": rest.bid.to_numpy(), "kind": 2, "a": [b""] * len(rest), "b": [b""] * len(rest), "c": c}))
     return pd.concat(rows)
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one batch: the shared anchors of each document."""
+    """Of one batch: the shared anchors of each document, hot ones with _MARK."""
     ids = np.frombuffer(pdf[pdf.kind == 1].a.iloc[0], np.int64).reshape(2, -1)
+    hot = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in pdf[pdf.kind == 2].c)])
+    pdf = pdf[pdf.kind < 2]
     doc = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf.b])
     pre = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf.c])
+    pre = np.where(np.isin(pre, hot), pre | _MARK, pre)
     order = np.lexsort((pre, doc))
     doc, pre = doc[order], pre[order]
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
@@ -206,18 +225,27 @@ def _snippets(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -
     did, rk, texts = ints(batch, "did").tolist(), ints(batch, "rk").tolist(), blobs(batch, "text")
     shared = [[np.frombuffer(y, np.uint64) for y in x] for x in batch.column(batch.schema.get_field_index("shared")).to_pylist()]
     shared = [np.unique(np.concatenate(x)) for x in shared]
+    hot_of = [x[x >= _MARK] ^ _MARK for x in shared]
+    shared = [np.unique(x & ~_MARK) if len(y) else x for x, y in zip(shared, hot_of, strict=True)]
     found: dict[tuple[int, bytes], list] = {}
     cut, cut_of = None, -1
     for doc, h, lo, hi in scan(texts, plan):
         pre = h >> np.uint64(32 - bits)
         edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
-        hit = np.zeros(len(doc), bool)
+        hit, hot = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
         for a, b in zip(edges, [*edges[1:], len(doc)], strict=True):
             s = shared[doc[a]]
             hit[a:b] = s[np.minimum(np.searchsorted(s, pre[a:b]), len(s) - 1)] == pre[a:b]
-        for d, x, f, t in zip(doc[hit].tolist(), h[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
+            if len(hot_of[doc[a]]):
+                hot[a:b] = np.isin(pre[a:b], hot_of[doc[a]])
+        for d, x, f, t, split in zip(doc[hit].tolist(), h[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist(), hot[hit].tolist(), strict=True):
             if d != cut_of:
                 cut, cut_of = plan.cutter(texts[d]), d
+            if split:
+                for s in range(f, t + 1):
+                    window = cut(s, s + plan.width)
+                    found.setdefault((xxh64_intdigest(window, x & 0xFFFFFFFF) - (1 << 63), window), []).append((d, s, s))
+                continue
             found.setdefault((x, cut(f, t + plan.width)), []).append((d, f, t))
     rows: list[tuple] = []
     settled: dict[int, list] = {}
@@ -293,6 +321,17 @@ def _said(did: np.ndarray, rk: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(did), pa.array(rk), pa.array(span)], names=["did", "rk", "span"])
 
 
+def _compact(rows: pa.Table) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """Of one anchor: what is already known to be removed, and the rows that are still needed."""
+    did, rk, lo, hi = (rows.column(c).to_numpy() for c in ("did", "rk", "lo", "hi"))
+    text = rows.column("snippet").combine_chunks()
+    new = np.ones(len(did), bool)
+    new[1:] = pc.not_equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)
+    later = (did > did[np.flatnonzero(new)][np.cumsum(new) - 1]) & ~rows.column("done").is_valid().to_numpy()
+    said = [_said(did[later], rk[later], lo[later] << 32 | hi[later])] if later.any() else []
+    return said, rows.filter(pa.array(~later)).combine_chunks().to_batches()
+
+
 def _settle(batches: Iterator[pa.RecordBatch], repeated: Callable, shard: int) -> Iterator[pa.RecordBatch]:
     """Rows come in ascending (anchor, snippet, document)."""
     shards = _Shards(repeated, shard)
@@ -302,7 +341,13 @@ def _settle(batches: Iterator[pa.RecordBatch], repeated: Callable, shard: int) -
         held.append(batch)
         size += batch.num_rows
         h = ints(batch, "h")
-        if size < 8192 or h[0] == h[-1]:
+        if h[0] == h[-1]:
+            if size >= COMPACT and ints(held[0], "h")[0] == h[0]:
+                said, rest = _compact(pa.Table.from_batches(held))
+                yield from said
+                held, size = rest, 0
+            continue
+        if size < 8192:
             continue
         at = int(np.searchsorted(h, h[-1]))
         yield from shards.take(pa.Table.from_batches([*held[:-1], batch.slice(0, at)]))
@@ -320,7 +365,7 @@ def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int
     bits = pow2(docs.count() / plan.docs_per_bucket, 16).bit_length() - 1
     packed_schema = pa.schema([("bucket", pa.int64()), ("bid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
     packed = text.mapInArrow(lambda it: (y for x in it for y in _pack(x, plan, bits, packed_schema)), "bucket long, bid long, kind int, a binary, b binary, c binary")
-    told = packed.groupBy("bucket").applyInPandas(_shared, "bid long, kind int, a binary, b binary, c binary")
+    told = packed.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, plan.hot), "bid long, kind int, a binary, b binary, c binary")
     lists = told.groupBy("bid").applyInPandas(_by_document, "did long, rk long, shared binary").groupBy("did", "rk").agg(F.collect_list("shared").alias("shared"))
     lists = cut(lists, "anchors")
     snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.binary())])

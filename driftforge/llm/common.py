@@ -67,6 +67,12 @@ def keyed(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(did.alias("doc_id"), text.alias("text"), F.coalesce(did, F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("rk"), *extra)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """did, rk and the row itself as a struct `__row`: the columns of docs may have any names."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rk"), row.alias("__row"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")

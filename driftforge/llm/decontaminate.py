@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftforge.llm.common import NO_ID, arrow_rows, blobs, small_batches, table
+from driftforge.llm.common import NO_ID, arrow_rows, blobs, small_batches, table, whole_rows
 from driftforge.llm.licences import licence_words as words_of
 
 SHINGLE = 5
@@ -164,8 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go. The few matches are joined back by row key."""
     hit = leaks(docs, table(spark, sf_dir, "benchmark")).select("did", "rk").distinct()
-    mark = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("rk", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return mark.join(hit, ["did", "rk"], "left_anti").select(*docs.columns)
+    return whole_rows(docs).join(hit, ["did", "rk"], "left_anti").select("__row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, small_batches, table
+from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, small_batches, table, whole_rows
 from driftforge.llm.licences import licence_words
 
 LABELLED = 6144
@@ -244,9 +244,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
-    bad = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("did", "rk", F.coalesce("doc_id", F.lit(NO_ID)).alias("d")).distinct()
-    mark = docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("rk", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return mark.join(bad, ["did", "rk"], "left_anti").select(*docs.columns)
+    bad = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("did", "rk").distinct()
+    return whole_rows(docs).join(bad, ["did", "rk"], "left_anti").select("__row.*")
 
 
 def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, ints, keyed, small_batches, table
+from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, ints, keyed, small_batches, table, whole_rows
 from driftforge.llm.components import components
 
 RADIUS = 3
@@ -153,9 +153,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_copies(docs)
     first = found.where("component.did = did and component.rk = rk").groupBy("did", "rk").agg(F.count(F.lit(1)).alias("copies"))
     first = cut(first, "kept")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    mark = docs.withColumn("__row", row).withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("rk", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).select("did", "rk", "__row")
-    kept = mark.join(first, ["did", "rk"])
+    kept = whole_rows(docs).join(first, ["did", "rk"])
     single = kept.where("copies = 1").select("__row.*")
     if first.where("copies > 1").isEmpty():
         return single

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftforge.llm.anchors import Plan, covered, repeated_windows, span_lists
 from driftforge.llm.common import arrow_rows, blobs, ints, keyed, table
@@ -188,7 +189,7 @@ def _cut(it: Iterator[pa.RecordBatch], schema: pa.Schema, texts: bool) -> Iterat
     for batch in it:
         out: dict[str, list] = {f.name: [] for f in schema}
         ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        for i, (d, x, r) in enumerate(zip(ids, blobs(batch, "text"), span_lists(batch), strict=True)):
+        for d, x, r in zip(ids, blobs(batch, "text"), span_lists(batch), strict=True):
             n, spans, kept = len(x), 0, x
             if r is not None:
                 gone = covered(r, n, WIDTH)
@@ -197,36 +198,40 @@ def _cut(it: Iterator[pa.RecordBatch], schema: pa.Schema, texts: bool) -> Iterat
             row = {"doc_id": d, "n_bytes": n, "n_removed": n - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest()}
             if texts:
                 row["kept"] = kept.decode("utf-8", "ignore")
-                row["__rest"] = batch.column(batch.schema.get_field_index("__rest"))[i].as_py()
             for name in out:
                 out[name].append(row[name])
-        yield from arrow_rows(out, schema)
+        if texts and batch.num_rows:
+            rest = batch.column(batch.schema.get_field_index("__rest"))
+            columns = [pa.array(out[f.name], f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays([*columns, rest], names=[*schema.names, "__rest"])
+        else:
+            yield from arrow_rows(out, schema)
 
 
 def substring_removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (text; a character that a cut halves goes)."""
-    return _apply(docs, True).drop("__rest")
+    return _apply(docs.select("doc_id", "text"), True).drop("__rest")
 
 
 def _apply(docs: DataFrame, texts: bool) -> DataFrame:
+    """texts: also the kept text, and as `__rest` a struct of all columns but the text."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    made = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rest = []
     if texts:
-        fields += [("kept", pa.string()), ("__rest", pa.string())]
-        docs = docs.withColumn("__rest", F.lit(None).cast("string")) if "__rest" not in docs.columns else docs
+        fields.append(("kept", pa.string()))
+        rest = [F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "text"]).alias("__rest")]
+        made = made.add("kept", "string").add("__rest", docs.select(*rest).schema["__rest"].dataType)
     schema = pa.schema(fields)
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, __rest string" if texts else "")
-    rows = keyed(docs, *(["__rest"] if texts else []))
-    return rows.join(removals(docs), ["did", "rk"], "left").mapInArrow(lambda it: _cut(it, schema, texts), ddl)
+    rows = keyed(docs, *rest)
+    return rows.join(removals(docs), ["did", "rk"], "left").mapInArrow(lambda it: _cut(it, schema, texts), made)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without the repeated bytes; a document of which nothing is left goes."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    packed = docs.withColumn("__rest", F.to_json(F.struct(*rest)) if rest else F.lit(None).cast("string"))
-    kept = _apply(packed, True).where("n_bytes = 0 or n_bytes > n_removed")
-    opened = kept.select("doc_id", F.col("kept").alias("text"), F.from_json("__rest", docs.select(*rest).schema).alias("r")) if rest else kept.select("doc_id", F.col("kept").alias("text"))
-    cols = {c: F.col(f"r.{c}") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return opened.select(*[cols[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    kept = _apply(docs, True).where("n_bytes = 0 or n_bytes > n_removed")
+    cols = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return kept.select(*[cols.get(c, F.col("`__rest`.`" + c.replace("`", "``") + "`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, on a small table with nulls, ties, copies and odd texts."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -7,11 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from driftforge.llm import automaton, components, decontaminate, hosts, licences, packing, quality, registry, sharding, simhash, store, substring, suffix_array
+from driftforge.llm import anchors, automaton, components, decontaminate, hosts, licences, packing, quality, registry, sharding, simhash, store, substring, suffix_array
 from driftforge.llm.encode import Encoder
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -91,6 +94,22 @@ def test_suffix_array_dedup(docs, rows):
     assert _by_id(got.drop("kept")) == sorted(want, key=str) and any(w[2] for w in want)
 
 
+@pytest.mark.parametrize("operator", [substring, suffix_array])
+def test_hot_anchors(monkeypatch, docs, operator):
+    """Anchors that are brought together window by window give what others give."""
+    found = lambda: {(r.did, r.rk): sorted({s for x in r.spans for s in range(x >> 32, (x & 0xFFFFFFFF) + 1)}) for r in operator.removals(docs).collect()}
+    want = found()
+    monkeypatch.setattr(operator, "PLAN", dataclasses.replace(operator.PLAN, hot=2))
+    assert want and found() == want
+
+
+def test_compact():
+    table = pa.table({"did": [1, 1, 4, 2, 3], "rk": [7, 8, 9, 7, 7], "lo": [0] * 5, "hi": [3] * 5, "snippet": [b"a", b"a", b"a", b"b", b"b"], "done": pa.array([None] * 5, pa.binary())})
+    said, rest = anchors._compact(table)
+    assert said[0].to_pydict() == {"did": [4, 3], "rk": [9, 7], "span": [3, 3]}
+    assert pa.Table.from_batches(rest).column("did").to_pylist() == [1, 1, 2]
+
+
 @pytest.mark.parametrize("symbols", [2, 3, 5, 200])
 def test_suffix_arrays(symbols):
     rng = np.random.default_rng(symbols)
@@ -329,7 +348,8 @@ def test_empty_tables(spark, docs):
 
 def test_stages(spark, docs, rows, tmp_path):
     """Every stage takes all its predecessor kept, and all but the last return the columns of documents."""
-    own = docs.drop("rk", "did")
+    clash = {"fp": F.lit(1.5), "kept": F.col("did"), "__row": F.lit(7), "r": F.to_timestamp(F.lit("2020-01-01 00:00:00.123456")), "n_bytes": F.array(F.lit("q")), "a.b": F.lit(None).cast("string")}
+    own = docs.withColumns(clash)
     spark.createDataFrame([(1, _texts()[10])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     own.write.parquet(f"{tmp_path}/documents.parquet")
@@ -340,6 +360,7 @@ def test_stages(spark, docs, rows, tmp_path):
         stage(spark, now, str(tmp_path)).write.parquet(out)
         now = spark.read.parquet(out)
         assert now.columns == own.columns and now.count() > 0
+        assert now.select("rk", "did", *[f"`{c}`" for c in clash]).distinct().collect() == own.select("rk", "did", *[f"`{c}`" for c in clash]).distinct().collect()
         if k == 1:
             assert {r.doc_id for r in now.collect()} <= least and now.count() == now.distinct().count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
