@@ -86,12 +86,20 @@ class Sparse:
         return np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows(), w[self.col], len(self.at) - 1)
+        out, rows = np.zeros(len(self.at) - 1), self.rows()
+        for part in _parts(len(rows)):
+            out += np.bincount(rows[part], w[self.col[part]], len(out))
+        return out
 
     def take(self, which: np.ndarray) -> Sparse:
         return Sparse.of([self.col[self.at[i] : self.at[i + 1]] for i in which])
 
 
+def _parts(n: int, most: int = 1 << 20) -> list[slice]:
+    """numpy widens what it counts to 64 bits: long arrays are counted part by part."""
+    return [slice(at, at + most) for at in range(0, n, most)]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -100,13 +108,16 @@ def fit_view(x: Sparse, y: np.ndarray, size: int, steps: int = 150, decay: float
     """Logistic weights over presence scaled by smoothed log-odds; gradient descent with momentum, classes balanced."""
     rows = x.rows()
     pos, neg = y.sum(), len(y) - y.sum()
-    on = y[rows] > 0
-    up, down = np.bincount(x.col[on], minlength=size), np.bincount(x.col[~on], minlength=size)
+    on = (y > 0)[rows]
+    up, down = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for part in _parts(len(rows)):
+        up += np.bincount(x.col[part][on[part]], minlength=size)
+        down += np.bincount(x.col[part][~on[part]], minlength=size)
     scale = np.log((up + 1) / (pos + 2)) - np.log((down + 1) / (neg + 2))
     share = pos / max(1, len(y))
     surprise = (up - (up + down) * share) / np.sqrt((up + down) * share * (1 - share) + 1e-9)
     scale[(np.abs(scale) < LEAST_ODDS) | (np.abs(surprise) < LEAST_SURPRISE)] = 0.0
-    used = scale[x.col] != 0
+    used = (scale != 0)[x.col]
     kept, col = np.unique(x.col[used], return_inverse=True)
     rows, value = rows[used], scale[x.col[used]]
     weight = np.where(y > 0, 0.5 / max(1, pos), 0.5 / max(1, neg))
