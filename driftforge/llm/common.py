@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,20 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rk"), row.alias("__row"))
 
 
+def filtered(docs: DataFrame, chooser: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of docs that the function chosen in each task keeps. Rows stream past whole; nothing is shuffled."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow would resolve dots in names
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = chooser()
+        for b in it:
+            yield b.filter(pa.array(keep(pa.RecordBatch.from_arrays(b.columns, names=names)), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes: texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftforge.llm.common import NO_ID, arrow_rows, blobs, small_batches, table, whole_rows
+from driftforge.llm.common import NO_ID, arrow_rows, blobs, filtered, small_batches, table
 from driftforge.llm.licences import licence_words as words_of
 
 SHINGLE = 5
@@ -134,17 +135,13 @@ def _regions(starts: list[int]) -> Iterator[range]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, window_words, similarity: the best window of each document and matched item."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chunks = max(1, -(-items.count() // CHUNK))
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("window_words", pa.int64()), ("similarity", pa.float64())])
     text = F.coalesce("text", F.lit(""))
     did = F.col("doc_id").cast("long")
     rows = docs.select(did.alias("doc_id"), F.coalesce(did, F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("rk"), text.alias("text"))
     small_batches(docs.sparkSession)
     found = None
-    for c in range(chunks):
-        mine = sorted(((r.item_id, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        kept = docs.sparkSession.sparkContext.broadcast(mine)
+    for kept in _chunks(docs, benchmark):
 
         def run(it: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             index = Index(kept.value)
@@ -161,10 +158,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def _chunks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The benchmark, about CHUNK items at a time."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    chunks = max(1, -(-items.count() // CHUNK))
+    for c in range(chunks):
+        mine = sorted(((r.item_id, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        yield docs.sparkSession.sparkContext.broadcast(mine)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that leaks() names."""
+    for kept in _chunks(docs, benchmark):
+
+        def chooser(kept=kept):
+            index = Index(kept.value)
+            return lambda b: [not (index.items and index.search(x or b"")) for x in blobs(b, "text")]
+
+        docs = filtered(docs, chooser)
+    return docs
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go. The few matches are joined back by row key."""
-    hit = leaks(docs, table(spark, sf_dir, "benchmark")).select("did", "rk").distinct()
-    return whole_rows(docs).join(hit, ["did", "rk"], "left_anti").select("__row.*")
+    """Pipeline stage: documents that hold a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

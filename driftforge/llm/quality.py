@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, small_batches, table, whole_rows
+from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, filtered, small_batches, table
 from driftforge.llm.licences import licence_words
 
 LABELLED = 6144
@@ -227,6 +227,17 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, Model | None]:
     return {head: co_train(cols[0], cols[1], np.array([float(getattr(got[i], head) > 0) for i in known]), cols[2], cols[3]) if known else None for head in ("quality", "toxic")}
 
 
+def _judged(b: pa.RecordBatch, good: Model | None, toxic: Model | None) -> tuple[list, list, list]:
+    """p_quality, p_toxic and kept of each row."""
+    q, x_ = [], []
+    lang, source = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lang", "source"))
+    for x, *meta in zip(blobs(b, "text"), lang, source, strict=True):
+        t, m = text_view(x or b""), meta_view(x or b"", *meta)
+        q.append(round(good.score(t, m), 6) if good else 0.5)
+        x_.append(round(toxic.score(t, m), 6) if toxic else 0.5)
+    return q, x_, [a >= REJECT and (toxic is None or c < REJECT) for a, c in zip(q, x_, strict=True)]
+
+
 def scored(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
     """doc_id, did, rk, p_quality, p_toxic, kept."""
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("p_quality", pa.float64()), ("p_toxic", pa.float64()), ("kept", pa.bool_())])
@@ -235,12 +246,7 @@ def scored(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, toxic = shared.value["quality"], shared.value["toxic"]
         for b in it:
-            q, x_ = [], []
-            for x, lang, source in zip(blobs(b, "text"), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                t, m = text_view(x), meta_view(x, lang, source)
-                q.append(round(good.score(t, m), 6) if good else 0.5)
-                x_.append(round(toxic.score(t, m), 6) if toxic else 0.5)
-            kept = [a >= REJECT and (toxic is None or c < REJECT) for a, c in zip(q, x_, strict=True)]
+            q, x_, kept = _judged(b, good, toxic)
             yield from arrow_rows({"doc_id": b.column(0), "did": b.column(1), "rk": b.column(2), "p_quality": q, "p_toxic": x_, "kept": kept}, schema)
 
     did, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
@@ -255,8 +261,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
-    bad = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("did", "rk").distinct()
-    return whole_rows(docs).join(bad, ["did", "rk"], "left_anti").select("__row.*")
+    shared = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
+    return filtered(docs, lambda: lambda b: _judged(b, shared.value["quality"], shared.value["toxic"])[2])
 
 
 def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:

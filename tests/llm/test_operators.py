@@ -316,9 +316,11 @@ def test_decontamination(spark):
 
     want = {(i, k): best(t, x) for i, t in enumerate(texts) if t for k, x in items}
     assert got == {k: v for k, v in want.items() if v >= 0.8}
+    kept = decontaminate.without_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in got}
 
 
-def test_quality(spark):
+def test_quality(spark, tmp_path):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
     rows, labels = [], []
@@ -336,6 +338,8 @@ def test_quality(spark):
     held = [i for i in range(898) if i not in {x[0] for x in labels}]
     right = sum(got[i] == (i % 5 != 0 and i % 7 != 0) for i in held)
     assert len(got) == 900 and right > 0.95 * len(held)
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.doc_id for r in quality.stage(spark, docs, str(tmp_path)).collect()} == {i for i, kept in got.items() if kept}
     assert quality.classify(docs.limit(0), marks).count() == 0
     assert all(r.kept for r in quality.classify(docs.limit(5), marks.limit(0)).collect())
 
