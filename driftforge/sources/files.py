@@ -24,6 +24,25 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Fal
     df.write.option("sep", sep).option("escape", "\\").option("header", header).mode("overwrite").csv(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def with_header(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
+    """Delimited files without a header, written again with one; values stay text."""
+    write_delimited(read_delimited(spark, source, StructType([StructField(n, StringType()) for n in names])), target, header=True)
+
+
+def write_query_files(queries: DataFrame, path: str) -> None:
+    """A folder `id=...` for each query (id, sql), written in parallel."""
+    queries.select("id", F.col("sql").alias("value")).repartition("id").write.mode("overwrite").partitionBy("id").text(path)
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """The table of queries and features (id, kind, feature) as CSV with a header."""
+    write_delimited(features.select("id", "kind", "feature"), path, header=True)
+
+
 def tbl_to_csv(spark: SparkSession, source: str, target: str, schema: str) -> None:
     """Pipes to commas with a header; commas inside texts become semicolons."""
     df = read_delimited(spark, source, schema, "|")

@@ -8,7 +8,7 @@ import pytest
 
 from driftforge import registry
 from driftforge.operators import drift
-from driftforge.plans import joinorder, workload
+from driftforge.plans import joinorder, shapes, workload
 from driftforge.sources import files
 from driftforge.streaming.monitor import windowed_counts
 
@@ -109,3 +109,19 @@ def test_keys(spark, tmp_path):
 def test_monitor(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert windowed_counts(events).selectExpr("sum(n) n").first().n == events.count()
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", "select 1"), ("b", "select 2, 'x,y'")], "id string, sql string")
+    files.write_json(df, f"{tmp_path}/j")
+    assert {tuple(r) for r in spark.read.schema(df.schema).json(f"{tmp_path}/j").collect()} == {tuple(r) for r in df.collect()}
+    files.write_query_files(df, f"{tmp_path}/q")
+    assert {(r.id, r.value) for r in spark.read.text(f"{tmp_path}/q").collect()} == {tuple(r) for r in df.collect()}
+    files.write_delimited(df, f"{tmp_path}/c")
+    files.with_header(spark, f"{tmp_path}/c", f"{tmp_path}/h", ["one", "two"])
+    assert sorted(map(tuple, files.read_delimited(spark, f"{tmp_path}/h", "one string, two string", header=True).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_shapes(spark):
+    rows = {r.shape: r for r in shapes.shape_stats(shapes.plan_rows(spark, [("x", (("a", "b"), "c"), 3.0), ("y", (("a", "b"), ("c", "d")), 5.0)])).collect()}
+    assert sum(r.plans for r in rows.values()) == 2 and {(r.scans, r.joins, r.share) for r in rows.values()} == {(3.0, 2.0, 0.5), (4.0, 3.0, 0.5)}
