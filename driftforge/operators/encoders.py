@@ -15,6 +15,9 @@ T.both("enc_latency", "SELECT event_id, CAST(round(ln(abs(value) + 1) / ln(300e0
 T.both("enc_neg_log_sel", "SELECT event_type, round(-ln(count(*) / (SELECT count(*) FROM events)), 9) AS nls FROM events GROUP BY 1")
 T.both("md5_key", "SELECT n_nationkey, md5(n_name) AS k FROM nation")
 T.both("query_ident", "SELECT n_nationkey, lpad(CAST(n_nationkey AS STRING), 3, '0') || 'a' AS ident FROM nation", "SELECT n_nationkey, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || 'a' AS ident FROM nation")
-T.both("sql_normalise", "SELECT doc_id, lower(trim(regexp_replace(substring(text, 1, 200), '[ \\t\\n\\r]+', ' '))) AS t FROM documents", "SELECT doc_id, lower(trim(regexp_replace(substring(text, 1, 200), '[ \\t\\n\\r]+', ' ', 'g'))) AS t FROM documents")
+# lines that begin with -- go, runs of white space (as Python's str.split knows it) become one space; a line starts at \n only
+_GAP = "\\t-\\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PLAIN = "SELECT doc_id, lower(trim(regexp_replace(regexp_replace(chr(10) || text, '\\n[{gap}]*--[^\\n]*', ''{all}), '[{gap}]+', ' '{all}))) AS t FROM documents"
+T.both("sql_normalise", _PLAIN.format(gap=_GAP, all=""), _PLAIN.format(gap=_GAP, all=", 'g'"))
 T.both("human_counts", "SELECT o_custkey, CASE WHEN s >= 1000000 THEN CAST(CAST(floor(s / 1e6) AS BIGINT) AS STRING) || 'M' WHEN s >= 1000 THEN CAST(CAST(floor(s / 1e3) AS BIGINT) AS STRING) || 'K' ELSE CAST(CAST(floor(s) AS BIGINT) AS STRING) END AS h FROM (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) x", "SELECT o_custkey, CASE WHEN s >= 1000000 THEN CAST(CAST(floor(s / 1e6) AS BIGINT) AS VARCHAR) || 'M' WHEN s >= 1000 THEN CAST(CAST(floor(s / 1e3) AS BIGINT) AS VARCHAR) || 'K' ELSE CAST(CAST(floor(s) AS BIGINT) AS VARCHAR) END AS h FROM (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1) x")
 QUERIES, ORACLES = T.queries, T.oracles

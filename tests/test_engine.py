@@ -125,3 +125,18 @@ def test_more_sinks(spark, tmp_path):
 def test_shapes(spark):
     rows = {r.shape: r for r in shapes.shape_stats(shapes.plan_rows(spark, [("x", (("a", "b"), "c"), 3.0), ("y", (("a", "b"), ("c", "d")), 5.0)])).collect()}
     assert sum(r.plans for r in rows.values()) == 2 and {(r.scans, r.joins, r.share) for r in rows.values()} == {(3.0, 2.0, 0.5), (4.0, 3.0, 0.5)}
+
+
+def test_sql_normalise_takes_whole_texts(spark, tmp_path):
+    def plain(text):  # qpre.py: comment lines go, white space is squeezed, all is lower case
+        return text and " ".join("\n".join(x for x in text.split("\n") if not x.strip().startswith("--")).split()).lower()
+
+    texts = [None, "", "--", "-- A\n--B\n\t -- C\nSELECT  1\n --d", "a\r--B\n\r--c\r\nD -- e", "\x85X\xa0 y\x0b\x1c-- Z", "\n\n--\n\n--A\n-B - -", "Word\t" * 400 + "\n--gone " + "x" * 300 + "\nTHE END"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {i: plain(x) for i, x in enumerate(texts)}
+    assert {r.doc_id: r.t for r in registry.queries()["sql_normalise"](spark, str(tmp_path)).collect()} == want
+    assert dict(con.sql(registry.oracles()["sql_normalise"]).fetchall()) == want
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: r.t for r in registry.queries()["sql_normalise"](spark, SF).collect()} == docs
