@@ -8,8 +8,8 @@ occurs: a window without one has similarity 0. Documents stream past; nothing of
 
 Benchmark items are broadcast, CHUNK items at a time, so what is broadcast is bounded; larger benchmarks take more passes.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Items or documents of fewer than
-five words are one shingle. Edge cases: null or wordless texts match nothing; a document shorter than an item is one
+Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Items of fewer than five words are
+one shingle of their own length, looked up as such in every document. Edge cases: null or wordless texts match nothing; a document shorter than an item is one
 window; null doc_id stays null; repeated rows are matched each; empty tables give no rows.
 """
 
@@ -39,8 +39,8 @@ class _Vocabulary(dict):
         return 0
 
 
-def _shingles(t: list) -> list[tuple]:
-    return [tuple(t)] if 0 < len(t) < SHINGLE else list(zip(*(t[i:] for i in range(SHINGLE)), strict=False))
+def _shingles(t: list, size: int) -> list[tuple]:
+    return list(zip(*(t[i:] for i in range(size)), strict=False))
 
 
 class Index:
@@ -54,11 +54,12 @@ class Index:
             t = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
             if not t:
                 continue
-            counts = Counter(_shingles(t))
+            counts = Counter(_shingles(t, min(SHINGLE, len(t))))
             self.items.append((item, len(t), counts))
             for s in counts:
                 self.where.setdefault(s, []).append(len(self.items) - 1)
             prints.append(sum((n * self._signs(s) for s, n in counts.items()), np.zeros(64, np.int64)) > 0)
+        self.sizes = sorted({len(s) for s in self.where})
         self.prints = np.array(prints, bool).reshape(-1, 64)
         packed = np.packbits(self.prints, axis=1, bitorder="little")  # items x 8 blocks
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // 8
@@ -83,15 +84,18 @@ class Index:
         """(item_id, first word, words, similarity): the best window of each matched item, the first of equals."""
         words = words_of(text)
         t = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        n, size = len(t), min(SHINGLE, max(1, len(t)))
+        n = len(t)
         on = np.concatenate(([0], (t > 0).astype(np.int8), [0]))
         edge = np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
         hits: dict[int, list[int]] = {}
-        for a, b in edge[edge[:, 1] - edge[:, 0] >= size].tolist():
-            run = t[a:b].tolist()
-            for k in range(len(run) - size + 1):
-                for i in self.where.get(tuple(run[k : k + size]), ()):
-                    hits.setdefault(i, []).append(a + k)
+        for size in self.sizes:
+            for a, b in edge[edge[:, 1] - edge[:, 0] >= size].tolist():
+                run = t[a:b].tolist()
+                for k in range(len(run) - size + 1):
+                    for i in self.where.get(tuple(run[k : k + size]), ()):
+                        at = hits.setdefault(i, [])
+                        if size == SHINGLE or not at:  # a shorter shingle is its whole item: the first place is the best
+                            at.append(a + k)
         if not hits:
             return []
         # words that no item has get numbers of their own here, so that different words stay different
@@ -100,15 +104,15 @@ class Index:
         best: dict[int, tuple[float, int, int]] = {}
         for i, at in hits.items():
             item, length, counts = self.items[i]
-            length = min(length, n)
+            size, length = min(SHINGLE, length), min(length, n)
             starts = sorted({s for p in at for s in range(max(0, p - length + size), min(p, n - length) + 1)})
             for part in _regions(starts):
-                self._windows(full, part, length, best)
+                self._windows(full, part, length, size, best)
         return [(self.items[i][0], s, k, sim) for i, (sim, s, k) in sorted(best.items())]
 
-    def _windows(self, full: list[int], starts: range, length: int, best: dict) -> None:
+    def _windows(self, full: list[int], starts: range, length: int, size: int, best: dict) -> None:
         region = full[starts[0] : starts[-1] + length]
-        shingles = _shingles(region)
+        shingles = _shingles(region, size)
         each = len(shingles) - len(starts) + 1
         sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum([self._signs(s) for s in shingles], axis=0)))
         prints = sums[each:] - sums[:-each] > 0

@@ -320,6 +320,28 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in got}
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdef") for _ in range(n)) for n in [1, 2, 3, 4, 5, 6, 9, 40, 40, 40, 200] * 4]
+    texts += ["long " * 30 + "Three little, words" + " tail" * 30, "three little", "three other little words", None, ""]
+    items = [(k, " ".join(rng.choice("abcdef") for _ in range(n))) for k, n in enumerate([1, 2, 2, 3, 3, 3, 4, 4, 4, 4, 5, 6, 12])] + [(13, "three little words"), (14, "absent"), (15, "?!")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        w = licences.licence_words((text or "").encode())
+        for k, item in items:
+            t = licences.licence_words(item.encode())
+            size, n = min(5, len(t)), min(len(t), len(w))
+            grams = lambda x: Counter(tuple(x[j : j + size]) for j in range(len(x) - size + 1))
+            sims = [((have := grams(w[s : s + n])) & grams(t)).total() / max(1, (have | grams(t)).total()) for s in range(len(w) - n + 1)] if t and w else []
+            if sims and max(sims) >= 0.8:
+                want[i, k] = (sims.index(max(sims)), n, max(sims))
+    got = {(r.doc_id, r.item_id): (r.first_word, r.window_words, r.similarity) for r in decontaminate.leaks(docs, marks).collect()}
+    assert got == want and (44, 13) in got and {k for _, k in got} >= set(range(6))
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, marks).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
 def test_quality(spark, tmp_path):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
