@@ -68,7 +68,7 @@ T.frame("dist_float_bins", lambda s, d: _R(equi_width(_table(s, d, "orders"), "o
 T.frame("dist_int_bins", lambda s, d: _R(equi_width(_table(s, d, "part"), "p_size", 10)), _EQ.format(c="p_size", t="part", b=10))
 T.frame("dist_num_predef", lambda s, d: _R(on_intervals(_table(s, d, "customer"), "c_acctbal", [-500.0, 0.0, 1000.0, 4000.0, 9000.0])), "SELECT CAST(CASE WHEN c_acctbal > 4000 THEN 3 WHEN c_acctbal > 1000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS INT) AS bin, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 9) AS p FROM customer WHERE c_acctbal > -500 AND c_acctbal <= 9000 GROUP BY 1")
 T.frame("dist_keybins", lambda s, d: _R(key_bins(_table(s, d, "orders"), "o_orderkey", 8)), "SELECT o_orderkey >> 8 AS bin, count(*) AS cnt, round(count(*) / sum(count(*)) OVER (), 9) AS p FROM orders GROUP BY 1")
-T.both("dist_keybins_filled", "WITH b AS (SELECT DISTINCT o_orderkey, floor(o_orderkey / 700e0) AS f FROM orders WHERE o_orderkey % 3000 < 1500), c AS (SELECT CAST(f AS BIGINT) AS bin, count(*) AS cnt FROM b GROUP BY 1), r AS (SELECT explode(sequence(min(bin), max(bin))) AS bin FROM c) SELECT r.bin, coalesce(cnt, 0) AS cnt FROM r LEFT JOIN c ON r.bin = c.bin", "WITH b AS (SELECT DISTINCT o_orderkey, floor(o_orderkey / 700e0) AS f FROM orders WHERE o_orderkey % 3000 < 1500), c AS (SELECT CAST(f AS BIGINT) AS bin, count(*) AS cnt FROM b GROUP BY 1), r AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM c) SELECT r.bin, coalesce(cnt, 0) AS cnt FROM r LEFT JOIN c ON r.bin = c.bin")
+T.both("dist_keybins_filled", "WITH b AS (SELECT DISTINCT o_orderkey, floor(o_orderkey / 700e0) AS f FROM orders), c AS (SELECT CAST(f AS BIGINT) AS bin, count(*) AS cnt FROM b GROUP BY 1), r AS (SELECT explode(sequence(min(bin), max(bin))) AS bin FROM c) SELECT r.bin, coalesce(cnt, 0) AS cnt FROM r LEFT JOIN c ON r.bin = c.bin", "WITH b AS (SELECT DISTINCT o_orderkey, floor(o_orderkey / 700e0) AS f FROM orders), c AS (SELECT CAST(f AS BIGINT) AS bin, count(*) AS cnt FROM b GROUP BY 1), r AS (SELECT unnest(range(min(bin), max(bin) + 1)) AS bin FROM c) SELECT r.bin, coalesce(cnt, 0) AS cnt FROM r LEFT JOIN c ON r.bin = c.bin")
 T.both("dist_bin_keys", "SELECT CAST(floor(c_custkey / 256e0) AS BIGINT) AS bin, min(c_custkey) AS first_key, max(c_custkey) AS last_key, count(*) AS cnt FROM customer GROUP BY 1")
 T.both("dist_adaptive_bins", "SELECT CASE WHEN count(DISTINCT p_size) < 20 THEN count(DISTINCT p_size) - 1 ELSE 20 END AS n_size, CASE WHEN count(DISTINCT p_type) < 20 THEN count(DISTINCT p_type) - 1 ELSE 20 END AS n_type FROM part")
 T.both("dist_classify", "SELECT 'p_size' AS col, count(DISTINCT p_size) >= 20 AS numeric_col FROM part UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber) >= 20 FROM lineitem UNION ALL SELECT 'c_acctbal', true FROM (SELECT max(c_acctbal) AS m FROM customer) x")

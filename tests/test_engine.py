@@ -140,3 +140,12 @@ def test_sql_normalise_takes_whole_texts(spark, tmp_path):
     assert dict(con.sql(registry.oracles()["sql_normalise"]).fetchall()) == want
     docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert {r.doc_id: r.t for r in registry.queries()["sql_normalise"](spark, SF).collect()} == docs
+
+
+def test_key_bins_are_filled_over_all_keys(spark, tmp_path):
+    keys = [1, 5, 699, 700, 1400, 1500, 1600, 2999, 3000, 7100, 7100, 9999]  # no key in bins 3, 5 to 9 and 11 to 13
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.bin: r.cnt for r in registry.queries()["dist_keybins_filled"](spark, str(tmp_path)).collect()}
+    assert got == {b: len({k for k in keys if k // 700 == b}) for b in range(15)}
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert registry.queries()["dist_keybins_filled"](spark, sf).selectExpr("sum(cnt) n").first().n == spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").distinct().count()
