@@ -3,8 +3,31 @@
 Plans are orders (query: o_custkey, arm: o_orderpriority, latency: o_totalprice).
 """
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from driftforge.functions.twin import Twins
 
+BLOCK = 4096
+
+
+def neighbour_distance(df: DataFrame, key: str, col: str, k: int, block: int = BLOCK) -> DataFrame:
+    """id, unc: the mean distance of each row's k nearest others, or of all others where there are fewer; null without any.
+
+    The k nearest are among the k before and the k after in sorted order. Rows are dealt by rank to blocks (of more than
+    2 * k rows), those within k of an edge to the next block too. Rows without a value have no distance and are left out.
+    """
+    rows = df.where(F.col(col).isNotNull()).select(F.col(key).alias("id"), F.col(col).cast("double").alias("x"))
+    ranked = df.sparkSession.createDataFrame(rows.orderBy("x", "id").rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), rows.schema.add("rank", "long"))
+    mine = F.expr(f"rank div {block}")
+    dealt = ranked.withColumn("block", F.explode(F.array_distinct(F.array(mine, F.expr(f"(rank - {k}) div {block}"), F.expr(f"(rank + {k}) div {block}")))))
+    around = F.collect_list("x").over(Window.partitionBy("block").orderBy("rank").rowsBetween(-k, k))
+    near = dealt.withColumn("near", around).where(mine == F.col("block"))
+    # the least distance, 0, is the row's own
+    least = near.select("id", F.slice(F.array_sort(F.transform("near", lambda v: F.abs(v - F.col("x")))), 2, k).alias("d"))
+    return least.select("id", F.round(F.aggregate("d", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("d"), F.lit(0)), 6).alias("unc"))
+
+
 T = Twins()
 _E = "WITH e AS (SELECT o_custkey AS q, o_orderpriority AS arm, o_totalprice AS lat, o_orderkey AS id FROM orders WHERE o_custkey % 5 = 0)".replace(" WHERE o_custkey % 5 = 0", "")
 T.both("exp_unexecuted", _E + ", arms AS (SELECT DISTINCT arm FROM e), qs AS (SELECT DISTINCT q FROM e) SELECT qs.q, count(*) AS missing FROM qs CROSS JOIN arms LEFT JOIN e ON e.q = qs.q AND e.arm = arms.arm WHERE e.id IS NULL GROUP BY 1")
@@ -20,7 +43,7 @@ T.both("rank_score", "WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVE
 T.both("pair_gen", "WITH s AS (SELECT s_nationkey AS q, s_suppkey AS id, s_acctbal AS lat FROM supplier) SELECT a.q, count(*) AS pairs, sum(CASE WHEN a.lat < b.lat THEN 1e0 ELSE 0e0 END) AS first_better FROM s a JOIN s b ON a.q = b.q AND a.id < b.id GROUP BY 1")
 T.both("group_plans", _E + " SELECT q, count(DISTINCT arm) AS plans FROM e GROUP BY q HAVING count(DISTINCT arm) > 1")
 T.both("buffer_state", "SELECT l_suppkey % 7 AS rel, count(*) AS pages FROM lineitem GROUP BY 1")
-T.both("knn_uncertainty", "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier), d AS (SELECT p.id, n.id AS nid, abs(p.x - n.x) AS dist, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.x - n.x), n.id) AS k FROM a p JOIN a n ON p.id <> n.id AND abs(p.x - n.x) < 1000) SELECT id, round(avg(dist), 6) AS unc FROM d WHERE k <= 10 GROUP BY id")
+T.frame("knn_uncertainty", lambda s, d: neighbour_distance(s.read.parquet(f"{d}/supplier.parquet"), "s_suppkey", "s_acctbal", 10), "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier WHERE s_acctbal IS NOT NULL), d AS (SELECT p.id, abs(p.x - n.x) AS dist, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.x - n.x), n.id) AS k FROM a p LEFT JOIN a n ON p.id <> n.id) SELECT id, round(avg(dist), 6) AS unc FROM d WHERE k <= 10 GROUP BY id")
 T.both("wl_split_random", "SELECT CASE WHEN U['s:' || c_custkey] < 0.2 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM customer GROUP BY 1")
 T.both("wl_split_leave_one", "SELECT p_brand, min_by(p_partkey, md5('s:' || p_partkey)) AS test_id, count(*) - 1 AS train_n FROM part GROUP BY 1")
 QUERIES, ORACLES = T.queries, T.oracles

@@ -8,7 +8,7 @@ import pytest
 
 from driftforge import registry
 from driftforge.operators import drift
-from driftforge.plans import joinorder, shapes, workload
+from driftforge.plans import experience, joinorder, shapes, workload
 from driftforge.sources import files
 from driftforge.streaming.monitor import windowed_counts
 
@@ -149,3 +149,27 @@ def test_key_bins_are_filled_over_all_keys(spark, tmp_path):
     assert got == {b: len({k for k in keys if k // 700 == b}) for b in range(15)}
     for sf in (SF, "/root/testdata/sf0.01"):
         assert registry.queries()["dist_keybins_filled"](spark, sf).selectExpr("sum(cnt) n").first().n == spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").distinct().count()
+
+
+def _nearest(rows, k):
+    out = {}
+    for i, x in rows:
+        if x is not None:
+            d = sorted(abs(x - y) for j, y in rows if j != i and y is not None)[:k]
+            out[i] = round(sum(d) / len(d), 6) if d else None
+    return out
+
+
+def test_nearest_neighbours(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, round(rng.choice([rng.gauss(0, 5), 10 ** rng.uniform(0, 9), 7.0]), 2)) for i in range(300)] + [(300, None), (301, -5e9)]
+    for some in (rows, rows[:5], rows[:1], rows[300:]):
+        df = spark.createDataFrame(some, "i long, v double")
+        for block in (7, 64, 4096):
+            got = {r.id: r.unc for r in experience.neighbour_distance(df, "i", "v", 3, block).collect()}
+            want = _nearest(some, 3)
+            assert got.keys() == want.keys() and all(got[i] == want[i] or math.isclose(got[i], want[i], abs_tol=2e-6, rel_tol=1e-12) for i in want)
+    for sf in (SF, "/root/testdata/sf0.01"):
+        want = _nearest([tuple(r) for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_acctbal").collect()], 10)
+        got = {r.id: r.unc for r in registry.queries()["knn_uncertainty"](spark, sf).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=2e-6) for i in want)
