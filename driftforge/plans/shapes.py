@@ -20,7 +20,7 @@ def plan_rows(spark: SparkSession, plans: list[tuple[str, Tree, float]]) -> Data
     return spark.createDataFrame(rows, "plan string, node int, is_leaf boolean, hint string, signature string, shape string, cost double")
 
 
-def sampled_plans(spark: SparkSession, sf_dir: str, times: int = 200) -> DataFrame:
+def sampled_plans(spark: SparkSession, sf_dir: str, times: int = 1000) -> DataFrame:
     g, _ = tpch_graph(spark, sf_dir)
     made = [random_plan(g, random.Random(i)) for i in range(times)]
     return plan_rows(spark, [(f"p{i}", t, c) for i, (c, t) in enumerate(made)])

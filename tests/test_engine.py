@@ -173,3 +173,12 @@ def test_nearest_neighbours(spark, tmp_path):
         want = _nearest([tuple(r) for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_acctbal").collect()], 10)
         got = {r.id: r.unc for r in registry.queries()["knn_uncertainty"](spark, sf).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=2e-6) for i in want)
+
+
+def test_random_search_draws_a_thousand_plans(spark, monkeypatch):
+    drawn, draw = [], joinorder.random_plan
+    monkeypatch.setattr(joinorder, "random_plan", lambda g, rng: drawn.append(draw(g, rng)) or drawn[-1])
+    got = {r.method: r.cost for r in joinorder.plan_search(spark, SF).collect()}
+    assert len(drawn) == 1001  # tree search begins with one
+    assert got["random"] == round(min(c for c, _ in drawn[1:]), 3)
+    assert registry.queries()["plan_shape_stats"](spark, SF).selectExpr("sum(plans) n").first().n == 1000
