@@ -41,7 +41,7 @@ T.both("string_compare", "SELECT count(*) AS n FROM orders WHERE o_orderpriority
 T.both("cast_decode", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS st, count(*) AS n FROM orders WHERE CAST(o_totalprice AS INT) % 2 = 0 OR o_totalprice > 0 GROUP BY 1", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS st, count(*) AS n FROM orders GROUP BY 1")
 T.both("json_field", "SELECT event_type, CAST(sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY 1", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY 1")
 T.both("substring_from", "SELECT substring(p_brand FROM 1 FOR 5) AS pre, count(*) AS n FROM part GROUP BY 1")
-T.both("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 3) x")
+T.both("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 T.both("scalar_having", "SELECT c_nationkey, round(avg(c_acctbal), 6) AS a FROM customer GROUP BY 1 HAVING avg(c_acctbal) > (SELECT avg(c_acctbal) FROM customer)")
 T.both("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 T.both("anti_join", "SELECT count(*) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")

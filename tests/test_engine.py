@@ -182,3 +182,8 @@ def test_random_search_draws_a_thousand_plans(spark, monkeypatch):
     assert len(drawn) == 1001  # tree search begins with one
     assert got["random"] == round(min(c for c, _ in drawn[1:]), 3)
     assert registry.queries()["plan_shape_stats"](spark, SF).selectExpr("sum(plans) n").first().n == 1000
+
+
+def test_cross_join_is_the_whole_product(spark):
+    regions, nations = ([r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()] for t, c in (("region", "r_name"), ("nation", "n_name")))
+    assert sorted(map(tuple, registry.queries()["cross_join"](spark, SF).select("r_name", "n_name").collect())) == sorted((r, n) for r in regions for n in nations)
