@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftforge.functions.twin import Twins
+from driftforge.functions.twin import Twins, spark_text
 from driftforge.plans.joinorder import TPCH_KEYS, Tree, build, hint, random_plan, shape, signature, subtrees, tpch_graph
+from driftforge.plans.workload import suite_features
 
 CHAIN: Tree = (((("region", "nation"), "customer"), "orders"), "lineitem")
 
@@ -51,13 +52,23 @@ _ON = ["region", " JOIN nation ON r_regionkey = n_regionkey", " JOIN customer ON
 _FROM = ["region", "nation", "customer", "orders", "lineitem"] + ["".join(_ON[:k]) for k in range(2, 6)]
 T.frame("cout_cost", _cost, "SELECT CAST(sum(c) AS BIGINT) AS cost, count(*) AS nodes FROM (" + " UNION ALL ".join(f"SELECT count(*) AS c FROM {x}" for x in _FROM) + ") n")
 # a drifted workload: draw a feature by the target, then one of its queries with equal chance
-_PAIRS = "('q01', 'lineitem'), ('q03', 'customer'), ('q03', 'orders'), ('q03', 'lineitem'), ('q05', 'nation'), ('q05', 'lineitem'), ('q10', 'customer'), ('q10', 'lineitem'), ('q13', 'customer'), ('q13', 'orders'), ('q16', 'part'), ('q18', 'orders'), ('q22', 'customer')"
-_SAMPLE = """WITH w AS (SELECT * FROM (VALUES {pairs}) v(id, feature)),
+# what suite_features() finds, for the oracle: each query of the suites with its tables
+_NAMED = "job_chain_9 region nation customer supplier part orders lineitem; job_ext_group nation customer orders; job_min_star region nation supplier part orders lineitem; tpch_q01 lineitem; tpch_q02 supplier part lineitem; tpch_q03 customer orders lineitem; tpch_q04 orders lineitem; tpch_q05 region nation customer supplier orders lineitem; tpch_q06 lineitem; tpch_q07 nation customer supplier orders lineitem; tpch_q08 region nation customer supplier part orders lineitem; tpch_q09 nation supplier part orders lineitem; tpch_q10 nation customer orders lineitem; tpch_q11 supplier lineitem; tpch_q12 orders lineitem; tpch_q13 customer orders; tpch_q14 part lineitem; tpch_q15 supplier revenue; tpch_q16 supplier part lineitem; tpch_q17 part lineitem; tpch_q18 customer orders lineitem; tpch_q19 part lineitem; tpch_q20 supplier part lineitem; tpch_q21 supplier orders lineitem; tpch_q22 customer orders"
+_PAIRS = ", ".join(f"('{q}', '{t}')" for q, *named in map(str.split, _NAMED.split(";")) for t in named)
+_SAMPLE = """WITH w AS ({workload}),
 c AS (SELECT feature, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, feature) AS k FROM w GROUP BY feature),
 z AS (SELECT feature, cnt, (1e0 / k) / (SELECT sum(1e0 / k) FROM c) AS q, k FROM c),
 b AS (SELECT feature, cnt, k, coalesce(sum(q) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, CASE WHEN k = (SELECT max(k) FROM z) THEN 1e0 ELSE sum(q) OVER (ORDER BY k) END AS hi FROM z),
 d AS (SELECT i, feature, CAST(floor(U['wr:' || i] * cnt) AS BIGINT) + 1 AS n FROM ({draws}) r JOIN b ON U['wq:' || i] >= lo AND U['wq:' || i] < hi),
 o AS (SELECT id, feature, row_number() OVER (PARTITION BY feature ORDER BY id) AS n FROM w)
 SELECT o.id, o.feature, count(*) AS drawn FROM d JOIN o ON d.feature = o.feature AND d.n = o.n GROUP BY o.id, o.feature"""
-T.both("wl_drift_sample", _SAMPLE.format(pairs=_PAIRS, draws="SELECT explode(sequence(0, 499)) AS i"), _SAMPLE.format(pairs=_PAIRS, draws="SELECT unnest(range(0, 500)) AS i"))
+
+
+def drifted_sample(spark: SparkSession, features: DataFrame) -> DataFrame:
+    """id, feature, drawn: 500 draws from a workload given as id, feature."""
+    features.select("id", "feature").createOrReplaceTempView("wl_features")
+    return spark.sql(spark_text(_SAMPLE.format(workload="SELECT id, feature FROM wl_features", draws="SELECT explode(sequence(0, 499)) AS i")))
+
+
+T.frame("wl_drift_sample", lambda s, d: drifted_sample(s, suite_features(s, d).where("kind = 'table'")), _SAMPLE.format(workload=f"SELECT * FROM (VALUES {_PAIRS}) v(id, feature)", draws="SELECT unnest(range(0, 500)) AS i"))
 QUERIES, ORACLES = T.queries, T.oracles

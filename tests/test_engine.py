@@ -1,6 +1,8 @@
+import hashlib
 import math
 import random
 import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -187,3 +189,20 @@ def test_random_search_draws_a_thousand_plans(spark, monkeypatch):
 def test_cross_join_is_the_whole_product(spark):
     regions, nations = ([r[0] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()] for t, c in (("region", "r_name"), ("nation", "n_name")))
     assert sorted(map(tuple, registry.queries()["cross_join"](spark, SF).select("r_name", "n_name").collect())) == sorted((r, n) for r in regions for n in nations)
+
+
+def test_drifted_workload_draws_from_all_suite_queries(spark):
+    named = {}
+    for r in workload.suite_features(spark, SF).where("kind = 'table'").collect():
+        named.setdefault(r.feature, []).append(r.id)
+    assert {i for ids in named.values() for i in ids} == {k for k in registry.oracles() if k.startswith(("tpch_", "job_"))}
+    uniform = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16) / 2**32
+    order = sorted(named, key=lambda f: (-len(named[f]), f))
+    weights = np.array([1 / k for k in range(1, len(order) + 1)])
+    upper = np.cumsum(weights / weights.sum())
+    upper[-1] = 1.0
+    want = Counter()
+    for i in range(500):
+        feature = order[int(np.searchsorted(upper, uniform(f"wq:{i}"), "right"))]
+        want[sorted(named[feature])[int(uniform(f"wr:{i}") * len(named[feature]))], feature] += 1
+    assert {(r.id, r.feature): r.drawn for r in registry.queries()["wl_drift_sample"](spark, SF).collect()} == dict(want)
