@@ -3,9 +3,9 @@
 Two questions are learnt, each by two logistic classifiers that see different views of a document: is it good, and is
 it toxic. The text view is the presence of words and word beginnings, hashed, each scaled by its smoothed log-odds; the
 metadata view is source, language and layout (size, lines, signs, digits, capitals). In each round either classifier
-labels the pool documents it is surest of for the other. Both are then calibrated on held-out labelled rows and their
-calibrated logits combined. Training needs a bounded sample: at most LABELLED labelled rows and POOL others, those with
-the least hash of doc_id. Scoring covers every document in one pass without a shuffle.
+scores all documents and labels the GIVEN it is surest of for the other; equal texts count once. Both are then calibrated
+on held-out labelled rows and their calibrated logits combined. Training uses at most LABELLED labelled rows, those with
+the least hash of doc_id. Features are written once for the rounds; the last scoring is one pass without a shuffle.
 
 Edge cases: null text has no words; null metadata is a value of its own; without labels of both kinds everything is
 kept with score 0.5; null doc_id is scored like any other; repeated rows are scored each; an empty table gives no rows.
@@ -13,6 +13,7 @@ kept with score 0.5; null doc_id is scored like any other; repeated rows are sco
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, filtered, small_batches, table
+from driftforge.llm.common import NO_ID, arrow_rows, blobs, cut, drop, filtered, ints, small_batches, table
 from driftforge.llm.licences import licence_words
 
-LABELLED = 6144
-POOL = 3072
+LABELLED = 8192
 ROUNDS = 3
-#: Pool documents that a classifier hands over in a round, of each kind at most this share, and the surety it needs.
-SHARE, SURE = 0.1, 0.95
+#: Documents that a classifier hands over in a round, of both kinds together, and the surety it needs.
+GIVEN, SURE = 409, 0.95
 BITS = 20
 #: Of a feature that counts: log-odds, and standard deviations from what chance gives.
 LEAST_ODDS, LEAST_SURPRISE = 0.7, 4.5
@@ -162,69 +162,142 @@ class Model:
         return float(_sigmoid(z))
 
 
-def co_train(text: list[np.ndarray], meta: list[np.ndarray], y: np.ndarray, pool_text: list[np.ndarray], pool_meta: list[np.ndarray]) -> Model | None:
-    """y: labels of the first rows. A fifth of them is held out for calibration."""
-    held = np.arange(len(y)) % 5 == 4
-    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
-        return None
-    views = [(Sparse.of([*text, *pool_text]), 1 << BITS), (Sparse.of([*meta, *pool_meta]), META)]
-    n, m = len(y), len(pool_text)
-    train = np.flatnonzero(~held)
-    given = [np.full(m, np.nan), np.full(m, np.nan)]  # pseudo-labels that each view got from the other
-    fitted: list[tuple[np.ndarray, float]] = [(np.zeros(0), 0.0)] * 2
-    for rnd in range(ROUNDS + 1):
-        for v, (x, size) in enumerate(views):
-            extra = np.flatnonzero(~np.isnan(given[v]))
-            which = np.concatenate((train, n + extra))
-            fitted[v] = fit_view(x.take(which), np.concatenate((y[train], given[v][extra])), size)
-        if rnd == ROUNDS or not m:
-            break
-        for v, (x, _) in enumerate(views):
-            z = x.dot(fitted[v][0]) + fitted[v][1]
-            mix = calibrate(z[:n][held][:, None], y[held])
-            p = _sigmoid(mix[0] * z[n:] + mix[1])
-            most = max(1, int(SHARE * m))
-            for kind, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(most * (y.mean() if kind else 1 - y.mean())))]
-                best = best[(sure[best] >= SURE) & np.isnan(given[1 - v][best])]
-                given[1 - v][best] = kind
-    z = np.column_stack([x.dot(w)[:n][held] + b for (x, _), (w, b) in zip(views, fitted, strict=True)])
-    return Model(fitted[0][0], fitted[0][1], fitted[1][0], fitted[1][1], calibrate(z, y[held]))
+class Head:
+    """A question's two views: text and metadata features of labelled rows, their labels, and what each view was given."""
+
+    def __init__(self, views: list[list[np.ndarray]], y: np.ndarray) -> None:
+        self.views, self.y = views, y
+        self.held = np.arange(len(y)) % 5 == 4  # a fifth is held out for calibration
+        self.ready = len(np.unique(y[~self.held])) == 2 == len(np.unique(y[self.held]))
+        self.given: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]  # of each view: text's hash -> features, label
+        self.fitted: list[tuple[np.ndarray, float]] = []
+
+    def fit(self) -> None:
+        train = np.flatnonzero(~self.held)
+        extra = [list(g.values()) for g in self.given]
+        self.fitted = [fit_view(Sparse.of([*(x[i] for i in train), *(f for f, _ in more)]), np.concatenate((self.y[train], [k for _, k in more])), size) for x, more, size in zip(self.views, extra, (1 << BITS, META), strict=True)]
+        held = np.flatnonzero(self.held)
+        z = [Sparse.of([x[i] for i in held]).dot(w) + b for x, (w, b) in zip(self.views, self.fitted, strict=True)]
+        self.logits = np.column_stack(z)
+
+    def judges(self) -> list[tuple[np.ndarray, float, np.ndarray]]:
+        """Weights, intercept and calibration of each view."""
+        return [(w, b, calibrate(self.logits[:, [v]], self.y[self.held])) for v, (w, b) in enumerate(self.fitted)]
+
+    def most(self, kind: int) -> int:
+        share = self.y.mean()
+        return max(1, int(GIVEN * (share if kind else 1 - share)))
+
+    def model(self) -> Model:
+        (w, b), (mw, mb) = self.fitted
+        return Model(w, b, mw, mb, calibrate(self.logits, self.y[self.held]))
+
+
+def _packed(t: np.ndarray) -> bytes:
+    """Gaps of ascending numbers, byte by byte of each: they compress well."""
+    return np.diff(t, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
 
 
 def _featured(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("did", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("t", pa.binary()), ("m", pa.binary())])
+    """did, key (of the row's content), rk (of its text) and the packed features of both views."""
+    schema = pa.schema([("did", pa.int64()), ("key", pa.int64()), ("rk", pa.int64()), ("t", pa.binary()), ("m", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x, lang, source = blobs(b, "text"), b.column(4).to_pylist(), b.column(5).to_pylist()
-            rows = {"did": b.column(0), "quality": b.column(1), "toxic": b.column(2), "t": [text_view(y).astype("<i4").tobytes() for y in x], "m": [meta_view(*y).astype("<i4").tobytes() for y in zip(x, lang, source, strict=True)]}
+            rows = {"did": b.column(0), "key": b.column(1), "rk": b.column(2), "t": [_packed(text_view(y)) for y in x], "m": [_packed(meta_view(*y)) for y in zip(x, lang, source, strict=True)]}
             yield from arrow_rows(rows, schema)
 
-    return docs.mapInArrow(run, "did long, quality int, toxic int, t binary, m binary")
+    did, text, lang, source = F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.col("lang").cast("string"), F.col("source").cast("string")
+    rows = docs.select(did.alias("did"), F.xxhash64(did, text, lang, source).alias("key"), F.xxhash64(text).alias("rk"), text.alias("text"), lang.alias("lang"), source.alias("source"))
+    return rows.mapInArrow(run, "did long, key long, rk long, t binary, m binary")
+
+
+_SURE = np.dtype([("sure", "<f8"), ("key", "<i8"), ("rk", "<i8")])
+
+
+def _surest(a: np.ndarray, most: int) -> np.ndarray:
+    """The first rows by surety (then key), one of each text."""
+    a = a[np.lexsort((a["key"], -a["sure"]))]
+    return a[np.sort(np.unique(a["rk"], return_index=True)[1])][:most]
+
+
+def choose(feats: DataFrame, heads: dict[str, Head], labelled: np.ndarray) -> dict[tuple[str, int, int], np.ndarray]:
+    """(question, view, kind) -> the documents, of all but the labelled, that this view is surest of and may give."""
+    spark = feats.sparkSession
+    judges = {name: (h.judges(), [h.most(k) for k in (0, 1)], [np.fromiter(g, np.int64, len(g)) for g in h.given]) for name, h in heads.items()}
+    shared = spark.sparkContext.broadcast((judges, labelled))
+    limits = {(name, v, k): most[k] for name, (_, most, _) in judges.items() for v in (0, 1) for k in (0, 1)}
+
+    def merged(a: dict, b: dict) -> dict:
+        return {g: _surest(np.concatenate([x[g] for x in (a, b) if g in x]), limits[g]) for g in a.keys() | b.keys()}
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges, labelled = shared.value
+        top: dict = {}
+        for b in it:
+            key, rk = ints(b, "key"), ints(b, "rk")
+            free = ~np.isin(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), labelled)
+            views = [Sparse.of([_unpacked(x) for x in b.column(c).to_pylist()]) for c in (3, 4)]
+            found = {}
+            for name, (both, _, given) in judges.items():
+                for v, (w, bias, mix) in enumerate(both):
+                    p = _sigmoid(mix[0] * (views[v].dot(w) + bias) + mix[1])
+                    fresh = free & ~np.isin(rk, given[1 - v])
+                    for kind, sure in enumerate((1 - p, p)):
+                        at = np.flatnonzero(fresh & (sure >= SURE))
+                        rows = np.empty(len(at), _SURE)
+                        rows["sure"], rows["key"], rows["rk"] = np.round(sure[at], 9), key[at], rk[at]
+                        found[name, v, kind] = rows
+            top = merged(top, found)
+        if top:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(top)], pa.binary())], names=["top"])
+
+    tops = feats.mapInArrow(run, "top binary").rdd.map(lambda r: pickle.loads(bytes(r[0])))
+    out = tops.treeAggregate({}, merged, merged)
+    shared.destroy()
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, Model | None]:
     """Models of `quality` (good) and `toxic`."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     by = F.xxhash64(F.col("did"), F.lit(7))
     seen = labels.where("doc_id is not null and quality is not null and toxic is not null")
     seen = seen.groupBy(F.col("doc_id").cast("long").alias("did")).agg(F.max(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = seen.orderBy(by, "did").limit(LABELLED)
-    ids = docs.select(F.col("doc_id").cast("long").alias("did")).where("did is not null")
-    pool = ids.orderBy(F.xxhash64(F.col("did"), F.lit(11)), "did").limit(POOL).distinct().join(sample, "did", "left_anti")
-    # both samples are bounded by parameters
-    wanted = cut(sample.union(pool.select("did", F.lit(None).cast("int"), F.lit(None).cast("int"))), "sample")
-    text = F.coalesce("text", F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("did"), text, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    got = _featured(rows.join(F.broadcast(wanted), "did").select("did", "quality", "toxic", "text", "lang", "source")).collect()
+    # the labelled sample is bounded by a parameter
+    sample = cut(seen.orderBy(by, "did").limit(LABELLED), "sample")
+    names = ("quality", "toxic")
+    if sample.isEmpty():
+        return dict.fromkeys(names)
+    feats = cut(_featured(docs), "features")
+    got = feats.join(F.broadcast(sample), "did").select("did", *names, "t", "m").collect()
     got = sorted({r.did: r for r in sorted(got, key=lambda r: (r.did, bytes(r.t)))}.values(), key=lambda r: xxh32_intdigest(str(r.did).encode()))
-    feats = [(np.frombuffer(r.t, "<i4"), np.frombuffer(r.m, "<i4")) for r in got]
-    known = [i for i, r in enumerate(got) if r.quality is not None]
-    rest = [i for i, r in enumerate(got) if r.quality is None]
-    cols = [[f[v] for f in (feats[i] for i in part)] for part in (known, rest) for v in (0, 1)]
-    return {head: co_train(cols[0], cols[1], np.array([float(getattr(got[i], head) > 0) for i in known]), cols[2], cols[3]) if known else None for head in ("quality", "toxic")}
+    views = [[_unpacked(r[c]) for r in got] for c in ("t", "m")]
+    heads = {name: Head(views, np.array([float(r[name] > 0) for r in got])) for name in names}
+    labelled = np.array([r.did for r in got], np.int64)
+    del got
+    ready = {name: h for name, h in heads.items() if h.ready}
+    for rnd in range(ROUNDS + 1 if ready else 0):
+        for h in ready.values():
+            h.fit()
+        if rnd == ROUNDS:
+            break
+        chosen = choose(feats, ready, labelled)
+        keys = {int(k) for rows in chosen.values() for k in rows["key"]}
+        if not keys:
+            break
+        wanted = docs.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "key long")
+        more = {r.key: (_unpacked(r.t), _unpacked(r.m)) for r in feats.join(F.broadcast(wanted), "key").dropDuplicates(["key"]).select("key", "t", "m").collect()}
+        for (name, v, kind), rows in sorted(chosen.items(), key=lambda x: x[0]):
+            ready[name].given[1 - v] |= {int(r["rk"]): (more[int(r["key"])][1 - v], float(kind)) for r in rows}
+    drop(feats)
+    drop(sample)
+    return {name: h.model() if h.ready else None for name, h in heads.items()}
 
 
 def _judged(b: pa.RecordBatch, good: Model | None, toxic: Model | None) -> tuple[list, list, list]:

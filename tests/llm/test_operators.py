@@ -366,6 +366,33 @@ def test_quality(spark, tmp_path):
     assert all(r.kept for r in quality.classify(docs.limit(5), marks.limit(0)).collect())
 
 
+def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "GIVEN", 40)
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    rows = []
+    for i in range(4000):
+        words = [rng.choice(vocab) for _ in range(20)] + (["vile"] if i % 3 == 0 else ["kind"]) * rng.randint(0, 3)
+        rows.append((None if i == 3999 else i, " ".join(words) if i % 50 else "kind copy", "en", "bad" if i % 3 == 0 else "good", 1))
+    feats = quality._featured(spark.createDataFrame(rows, SCHEMA).repartition(7)).cache()
+    plain = [(r.did, r.key, r.rk, quality.text_view(rows[3999 if r.did is None else r.did][1].encode()), quality.meta_view(rows[3999 if r.did is None else r.did][1].encode(), "en", rows[3999 if r.did is None else r.did][3])) for r in feats.select("did", "key", "rk").collect()]
+    assert {(r.key, tuple(quality._unpacked(r.t)), tuple(quality._unpacked(r.m))) for r in feats.collect()} == {(k, tuple(t), tuple(m)) for _, k, _, t, m in plain}
+    first = sorted((x for x in plain if x[0] is not None and x[0] < 600), key=lambda x: x[0])
+    head = quality.Head([[x[3] for x in first], [x[4] for x in first]], np.array([float(x[0] % 3 > 0) for x in first]))
+    head.fit()
+    head.given[1][plain[1000][2]] = (plain[1000][4], 1.0)
+    got = quality.choose(feats, {"quality": head}, np.arange(600))
+    for v, (w, b, mix) in enumerate(head.judges()):
+        for kind in (0, 1):
+            want, texts = [], set(head.given[1 - v])
+            for neg, key, rk in sorted((-round(float(p if kind else 1 - p), 9), x[1], x[2]) for x in plain if x[0] is None or x[0] >= 600 for p in [quality._sigmoid(mix[0] * (w[x[3 + v]].sum() + b) + mix[1])] if (p if kind else 1 - p) >= quality.SURE):
+                if rk not in texts:
+                    texts.add(rk)
+                    want.append((neg, key))
+            assert [int(r["key"]) for r in got["quality", v, kind]] == [k for _, k in want[: head.most(kind)]]
+            assert len(got["quality", v, kind]) == head.most(kind)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     for f in (lambda d: substring.passage_removal(d), suffix_array.substring_removal, simhash.near_copies, packing.pack, sharding.shard, hosts.host_rules, licences.licence_scan, lambda d: decontaminate.leaks(d, d.selectExpr("doc_id item_id", "text"))):
