@@ -3,10 +3,10 @@
 The arrays are built for shards: anchors (see anchors.py) bring all snippets that can hold a common window to one
 shard, and the shard's text is the concatenation of its distinct snippets. Suffixes are classified, their
 leftmost-smaller substrings sorted by induction, named, and sorted recursively; the whole order is then induced.
-The scans run over buckets, a bucket's suffixes at a time. Where the names of a recursion are nearly as many as its
-symbols, scans by bucket would be a loop over symbols, and the recursion ends by sorting with doubled ranks.
+The scans read blocks of places, each up to the first place that the block itself fills. At every depth of the
+recursion the same induction sorts; permuted common prefixes come from irreducible ones.
 
-Edge cases: null text is empty; documents shorter than a window keep everything; a window that repeats only inside
+Edge cases: null text is empty; very long texts are hashed in pieces that overlap by a window; documents shorter than a window keep everything; a window that repeats only inside
 its own document, or only in rows of the same doc_id, stays; null doc_id counts as the largest id and stays null;
 identical rows get identical results; an empty table gives an empty result; other columns are left alone.
 """
@@ -30,78 +30,59 @@ WIDTH = 50
 SHARD = 3 << 19
 
 
-def _by_symbol(j: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes grouped by first symbol, in order: suffixes, symbols, places within the group, group starts."""
-    ch = t[j]
-    order = np.argsort(ch, kind="stable")
-    j, ch = j[order], ch[order]
-    start = np.flatnonzero(np.concatenate(([True], ch[1:] != ch[:-1])))
-    n = np.diff(np.concatenate((start, [len(ch)])))
-    return j, ch, np.arange(len(ch)) - np.repeat(start, n), start
+def _scan(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, edge: np.ndarray, step: int) -> None:
+    """One induction over the places of sa: left to right (step 1, larger types) or right to left (step -1, smaller).
+
+    The suffix at a place puts the one before it, if that is wanted, at the edge of its bucket, always further on. So a
+    block of places can be read at once up to the first place that the block itself fills; the next block starts there.
+    """
+    n, at, block, place = len(t), 0, 1024, np.arange(1 << 16)
+    view = sa if step == 1 else sa[::-1]
+    while at < n:
+        stop = min(n, at + block)
+        seg = view[at:stop]
+        src = (seg > 0).nonzero()[0]
+        j = seg[src]
+        j -= 1
+        keep = wanted[j]
+        src, j = src[keep], j[keep]
+        block = min(2 * block, 1 << 16)
+        if len(j):
+            ch = t[j]
+            order = ch.argsort(kind="stable")
+            ch = ch[order]
+            # the edge of the bucket, and beyond it the suffixes of the same block and symbol
+            to = edge[ch] + place[: len(ch)] - ch.searchsorted(ch)
+            first = int(to.min())
+            if first < stop:
+                stop = first
+                ready = src[order] < first - at
+                order, ch, to = order[ready], ch[ready], to[ready]
+                block = min(block, max(64, 2 * (stop - at)))
+            view[to] = j[order]
+            edge[ch] = to + 1  # of equal symbols the last stands
+        at = stop
 
 
 def _induce(t: np.ndarray, small: np.ndarray, heads: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes from the leftmost-smaller ones, which come in order: first the larger types, then the smaller."""
-    sa = np.full(len(t), -1, np.int64)
-    full = np.flatnonzero(ends > heads)
-    _, ch, place, start = _by_symbol(lms, t)
-    n_lms = np.zeros(len(heads), np.int64)
-    n_lms[ch[start]] = np.diff(np.concatenate((start, [len(ch)])))
-    seeds = lms[np.argsort(t[lms], kind="stable")]
-    at = np.cumsum(n_lms) - n_lms
-    tail = heads.copy()
-
-    def put(seg: np.ndarray, want_small: bool, step: int, edge: np.ndarray) -> None:
-        j = seg[seg > 0] - 1
-        j = j[small[j] == want_small]
-        if len(j):
-            j, ch, place, start = _by_symbol(j, t)
-            sa[edge[ch] + step * place - (step < 0)] = j
-            edge[ch[start]] += step * np.diff(np.concatenate((start, [len(ch)])))
-
-    for c in full:
-        lo = heads[c]
-        while lo < tail[c]:
-            lo, seg = tail[c], sa[lo : tail[c]]
-            put(seg, False, 1, tail)
-        if n_lms[c]:
-            put(seeds[at[c] : at[c] + n_lms[c]], False, 1, tail)
-    top = ends.copy()
-    for c in full[::-1]:
-        hi = ends[c]
-        while hi > top[c]:
-            hi, seg = top[c], sa[top[c] : hi][::-1]
-            put(seg, True, -1, top)
-        if tail[c] > heads[c]:
-            put(sa[heads[c] : tail[c]][::-1], True, -1, top)
-    sa[0] = len(t) - 1  # the sentinel precedes all
+    n = len(t)
+    sa = np.full(n, -1, np.int64)
+    order = t[lms].argsort(kind="stable")
+    ch = t[lms][order]
+    sa[ends[ch] + np.arange(len(ch)) - ch.searchsorted(ch, "right")] = lms[order]
+    _scan(sa, t, ~small, heads.copy(), 1)
+    sa[(sa >= 0) & small[sa]] = -1  # the seeds; all smaller types come again, from the larger ones
+    _scan(sa, t, small, n - ends, -1)
+    sa[0] = n - 1  # the sentinel precedes all
     return sa
 
 
-def _doubling(t: np.ndarray) -> np.ndarray:
-    n, width = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + nxt
-        sa = np.argsort(key, kind="stable")
-        k = key[sa]
-        new = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
-        width *= 2
-        if new[-1] == n - 1 or width >= 2 * n:
-            return sa
-
-
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """Of t, whose last symbol is 0 and occurs nowhere else; symbols: one more than the largest."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
-    if symbols > max(300, n // 256):
-        return _doubling(t)
     eq = np.concatenate((t[:-1] == t[1:], [False]))
     less = np.concatenate((t[:-1] < t[1:], [True]))
     run_end = np.where(eq, n, np.arange(n))
@@ -135,22 +116,39 @@ def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     return _induce(t, small, heads, ends, order)
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each place in `order`, by place, how far (up to `most`) it agrees with the place before it."""
+def common_prefixes(data: np.ndarray, sa: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Permuted longest common prefixes: for each place of data, how far its suffix agrees with the one before it in sa.
+
+    Only irreducible values are compared, those whose suffix and neighbour follow different bytes; any other is one less
+    than the value a place before. rest: bytes left in each place's snippet, which no value exceeds.
+    """
+    n = len(data)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    own = np.flatnonzero(before >= 0)
+    left = np.concatenate(([-1], data[:-1].astype(np.int64)))
+    irreducible = np.ones(n, bool)
+    k = own[(own > 0) & (before[own] > 0)]
+    # a snippet's first place is always compared: no value reaches into the next snippet
+    irreducible[k] = (left[k] != left[before[k]]) | (rest[k - 1] == 0) | (rest[before[k] - 1] == 0)
+    most = int(rest.max(initial=0)) + 8
     padded = np.concatenate((data, np.zeros(most + 8, np.uint8)))
-    words = np.ndarray((len(data) + most,), "<u8", buffer=padded, strides=(1,))
-    plcp = np.zeros(len(data), np.int32)
-    got = np.zeros(max(0, len(order) - 1), np.int32)
-    open_ = np.arange(len(got))
-    for off in range(0, most, 8):
-        x = words[order[open_] + off] ^ words[order[open_ + 1] + off]
+    words = np.ndarray((n + most,), "<u8", buffer=padded, strides=(1,))
+    plcp = np.zeros(n, np.int64)
+    open_, off = own[irreducible[own]], 0
+    while len(open_):
+        x = words[open_ + off] ^ words[before[open_] + off]
         same = x == 0
         low = x[~same] & (~x[~same] + np.uint64(1))
-        got[open_[~same]] = off + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3)
+        plcp[open_[~same]] = off + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
+        off += 8
         open_ = open_[same]
-    got[open_] = most
-    plcp[order[1:]] = np.minimum(got, most)
-    return plcp
+        over = rest[open_] <= off
+        plcp[open_[over]] = off
+        open_ = open_[~over]
+    last = np.maximum.accumulate(np.where(irreducible, np.arange(n), 0))
+    plcp = plcp[last] - (np.arange(n) - last)
+    return np.where(before >= 0, np.minimum(np.minimum(plcp, rest), rest[np.maximum(before, 0)]), 0)
 
 
 def repeated(snippets: list[bytes], documents: list[int], width: int = WIDTH) -> list[np.ndarray]:
@@ -162,14 +160,14 @@ def repeated(snippets: list[bytes], documents: list[int], width: int = WIDTH) ->
     begin = np.cumsum(lens + 1) - lens - 1
     t = data.astype(np.int64) + 2
     t[begin + lens] = 1
-    sa = suffix_array(np.concatenate((t, [0])), 258)
+    sa = suffix_array(np.concatenate((t, [0])), 258)[1:]
     owner = np.repeat(np.arange(len(lens)), lens + 1)
-    starts = np.arange(len(data)) <= (begin + lens - width)[owner]
-    order = sa[1:]
-    order = order[starts[order]]
+    rest = (begin + lens)[owner] - np.arange(len(data))
+    # windows that are equal lie side by side: nothing shorter sorts between them
+    order = sa[rest[sa] >= width]
     if not len(order):
         return [np.empty(0, np.int64)] * len(lens)
-    head = np.flatnonzero(np.concatenate(([True], common_prefixes(data, order, width)[order[1:]] < width)))
+    head = np.flatnonzero(np.concatenate(([True], common_prefixes(data, sa, rest)[order[1:]] < width)))
     doc = np.array(documents, np.int64)[owner[order]]
     least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.concatenate((head, [len(order)]))))
     gone = np.sort(order[doc > least])
