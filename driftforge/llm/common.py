@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='driftforge-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+    """The folder that driver and executors share: spark.checkpoint.dir or, where that is not set, the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return where.rstrip("/")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; the user's own come back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -39,12 +51,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: later work neither recomputes nor loses it with an executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    # what the written plan shuffled is not read again
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with settings(spark, {CLEANUP: "true"}):  # what the written plan shuffled is not read again
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,26 +1,32 @@
 """Operator 3: a content-addressed store of token ids.
 
 Ids are cut into chunks where a rolling hash of 16 ids says so, so equal passages give equal chunks wherever they stand.
-A chunk is addressed by a digest of its bytes and stored once, with the least document that has it. The store is a
-table of documents in ascending doc_id order, written in ranges of doc_id:
-
-  start, n_tokens   place in the whole id stream
-  recipe            16-byte digests of the chunks, in order; sizes: ids in each, 32-bit
-  owned             a byte for each chunk: 1 if its ids are in this row's payload
-  payload           the owned chunks' ids, little-endian 16-bit
-  root              Merkle root over the recipe's digests
-
-and a manifest with a Merkle root for each range of documents. Reading checks every payload against its digest and
-every recipe against its root. What a document's ids are worth (crc32) is put together from its chunks' values, so
-chunks of other documents cross the network as digests and sums, not as ids.
+A chunk is addressed by a digest of its bytes and stored once, with the least document that has it. The store is three
+tables:
+
+  documents   in ascending doc_id order, in parts of about PART ids (rows are dealt by the ids before them, so parts
+              are even however doc_ids are spread):
+              part, start, n_tokens   place in the whole id stream
+              recipe                  16-byte digests of the chunks, in order; sizes: ids in each, 32-bit
+              owned                   a byte for each chunk: 1 if its ids are in this row's payload
+              payload                 the owned chunks' ids, little-endian 16-bit
+              root                    Merkle root over the recipe's digests
+  manifest    of each part: first start, documents, ids, and the Merkle root over its rows in order
+  root        documents, ids and the Merkle root over the parts, checked at writing against the sums of the input
+
+Reading checks the manifest against the root, every part against the manifest, every recipe against its root and every
+payload against its digests: a lost, added or altered file, row or chunk is an error. What a document's ids are worth
+(crc32) is put together from its chunks' values, so chunks of other documents cross the network as digests and sums,
+not as ids.
 
 Edge cases: null text is empty: one id, the end; null doc_id sorts last and stays null; rows that repeat a doc_id are
-documents of their own, in the order of their hashes; identical rows share all chunks but have their own starts; an
-empty table gives an empty store.
+documents of their own, in the order of their hashes; identical rows share all chunks but have their own starts; a very
+long text is one row of many chunks; an empty table gives an empty store; other columns are left alone.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -32,16 +38,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftforge.llm.anchors import gram_hashes
-from driftforge.llm.common import CLEANUP, arrow_rows, blobs, cut, drop, keyed, new_path, small_batches, table
+from driftforge.llm.common import CLEANUP, arrow_rows, blobs, cut, drop, ints, keyed, new_path, settings, small_batches, table
 from driftforge.llm.encode import encoder
 
 END = 2
 ROLL = 16
 #: Ids of a chunk on average (a power of two) and at most.
-MEAN, MOST = 512, 4096
-
-
-_WRITING = {CLEANUP: "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+MEAN, MOST = 256, 2048
+#: Ids of a part, unless that makes more than PARTS of them.
+PART, PARTS = 1 << 23, 1 << 20
 
 
 def digest(x: bytes) -> bytes:
@@ -54,6 +59,32 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else digest(b"")
 
 
+class Merkle:
+    """merkle() of leaves that come one by one, in memory that grows with their logarithm."""
+
+    def __init__(self) -> None:
+        self.peaks: list[bytes | None] = []
+
+    def add(self, leaf: bytes) -> None:
+        for i, peak in enumerate(self.peaks):
+            if peak is None:
+                self.peaks[i] = leaf
+                return
+            leaf, self.peaks[i] = digest(peak + leaf), None
+        self.peaks.append(leaf)
+
+    def root(self) -> bytes:
+        odd = None  # the last node of a level that has no partner yet, hashed alone to go up
+        for i, peak in enumerate(self.peaks):
+            if peak is not None and odd is not None:
+                odd = digest(peak + odd)
+            elif peak is not None:
+                odd = peak if i + 1 == len(self.peaks) else digest(peak)
+            elif odd is not None:
+                odd = digest(odd)
+        return digest(b"") if odd is None else odd
+
+
 def chunk_ends(streams: list[bytes]) -> list[list[int]]:
     """Ends of the chunks of each stream of 16-bit ids, streams hashed side by side."""
     n = np.array([len(x) // 2 for x in streams], np.int64)
@@ -145,86 +176,168 @@ def _digests(recipe: str = "recipe") -> F.Column:
 
 
 def with_starts(sizes: DataFrame) -> DataFrame:
-    """did, rk, no, n_tokens -> part (number of a range of did), did, rk, no, start: tokens of all rows before, in order of (did, rk, no).
+    """did, rk, no, n_tokens -> did, rk, no, n_tokens, start: tokens of all rows before, in order of (did, rk, no).
 
     The sum runs inside ranges of rows; only a total for each range is summed over all.
     """
-    placed = cut(sizes.repartitionByRange("did").withColumn("part", F.spark_partition_id()), "ranges")
-    totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy("did", "rk", "no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut(sizes.repartitionByRange("did", "rk", "no").withColumn("range", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy("range").agg(F.sum("n_tokens").alias("total"))
+    before = totals.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("range").orderBy("did", "rk", "no").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return running.join(before, "part").select("part", "did", "rk", "no", (F.col("own") + F.col("before")).alias("start"))
+    return running.join(before, "range").select("did", "rk", "no", "n_tokens", (F.col("own") + F.col("before")).alias("start"))
+
+
+_ROW = [("part", pa.int32()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("own", pa.list_(pa.int32())), ("ids", pa.binary()), ("recipe", pa.binary()), ("sizes", pa.binary())]
+_ROW_DDL = "part int, did long, rk long, no long, doc_id long, start long, n_tokens long, own array<int>, ids binary, recipe binary, sizes binary"
+
+
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """Columns did, rk, no -> strings of 24 bytes in the same order."""
+    return np.ascontiguousarray((rows.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").T).view("S24").ravel()
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Writes path/documents and path/manifest."""
+def _dealt(encoded: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """The encoded rows with their parts; bounds: did, rk and no of the first row of each part but the first."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_keys(bounds))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            part = np.searchsorted(shared.value, _keys(np.stack([ints(b, c) for c in ("did", "rk", "no")])), "right")
+            new = {"start": pa.nulls(b.num_rows, pa.int64()), "own": pa.nulls(b.num_rows, pa.list_(pa.int32())), "part": pa.array(part, pa.int32())}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(b.schema.get_field_index(n)) for n, _ in _ROW], schema=pa.schema(_ROW))
+
+    return encoded.mapInArrow(run, _ROW_DDL)
+
+
+def _fold(rows: DataFrame) -> DataFrame:
+    """part, start, n_tokens, root -> of each part: part, start, documents, tokens, root."""
+    schema = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64()), ("root", pa.binary())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, said = None, Merkle(), [0, 0, 0]
+        for b in it:
+            for part, start, n, root in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield from arrow_rows(dict(zip(schema.names, [[now], *([x] for x in said), [tree.root()]], strict=True)), schema)
+                    now, tree, said = part, Merkle(), [start, 0, 0]
+                tree.add(digest(struct.pack("<qq", start, n) + root))
+                said[1] += 1
+                said[2] += n
+        if now is not None:
+            yield from arrow_rows(dict(zip(schema.names, [[now], *([x] for x in said), [tree.root()]], strict=True)), schema)
+
+    light = rows.select("part", "start", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
+    return light.mapInArrow(run, "part int, start long, documents long, tokens long, root binary")
+
+
+def _crown(manifest: DataFrame) -> tuple[int, int, bytes]:
+    """documents, tokens and the Merkle root of all parts, which must join without gaps; one row a part passes the driver."""
+    tree, documents, tokens = Merkle(), 0, 0
+    for r in manifest.orderBy("part").toLocalIterator():
+        if r.start != tokens:
+            raise ValueError(f"part {r.part} starts at {r.start}, after {tokens} ids")
+        tree.add(digest(struct.pack("<iqqq", r.part, r.start, r.documents, r.tokens) + bytes(r.root)))
+        documents, tokens = documents + r.documents, tokens + r.tokens
+    return documents, tokens, tree.root()
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part: int = PART) -> None:
+    """Writes path/documents, path/manifest and path/root."""
+    spark = docs.sparkSession
     encoded = cut(_encoded(docs, tokenizer).withColumn("no", F.monotonically_increasing_id()), "encoded")
     light = encoded.select("did", "rk", "no", "n_tokens", "recipe")
+    total = light.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
+    part = max(part, -(-total.t // PARTS))
+    parts = max(1, -(-total.t // part))
     chunks = light.select("did", "rk", "no", F.explode(_digests()).alias("c")).select("c.digest", F.struct("did", "rk", "no", F.col("c.i").alias("i")).alias("at"))
     # a chunk that only one document has needs no word to it; the others hear which of theirs they own
     owners = chunks.groupBy("digest").agg(F.min("at").alias("at"))
     owned = owners.select("at.*").groupBy("did", "rk", "no").agg(F.collect_list("i").alias("own"))
-    told = cut(with_starts(light.select("did", "rk", "no", "n_tokens")).join(owned, ["did", "rk", "no"], "left"), "told")
-    schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("recipe", pa.binary()), ("sizes", pa.binary()), ("owned", pa.binary()), ("payload", pa.binary()), ("root", pa.binary())])
+    kept = told = cut(with_starts(light.select("did", "rk", "no", "n_tokens")).join(owned, ["did", "rk", "no"], "left").withColumn("part", F.floor(F.col("start") / part).cast("int")), "told")
+    first = told.groupBy("part").agg(F.min(F.struct("did", "rk", "no")).alias("x")).orderBy("part").collect()  # at most PARTS rows
+    bounds = np.array([[r.x.did, r.x.rk, r.x.no] for r in first[1:]], np.int64).reshape(-1, 3).T
+    numbers = {r.part: k for k, r in enumerate(first)}  # a document longer than a part leaves numbers out
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("recipe", pa.binary()), ("sizes", pa.binary()), ("owned", pa.binary()), ("payload", pa.binary()), ("root", pa.binary())])
 
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told_of: dict[tuple, tuple] = {}
         for b in it:
             cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-            out = {n: cols[n] for n in ("doc_id", "did", "rk", "no", "start", "n_tokens", "recipe", "sizes")} | {"owned": [], "payload": [], "root": []}
-            for ids, recipe, sizes, own in zip(cols["ids"], cols["recipe"], cols["sizes"], cols["own"], strict=True):
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for i, key in enumerate(zip(cols["did"], cols["rk"], cols["no"], strict=True)):
+                if cols["start"][i] is not None:  # what a row is told comes just before it
+                    told_of = {key: (cols["start"][i], cols["own"][i], cols["part"][i])}
+                    continue
+                start, own, at = told_of.pop(key)
+                ids, recipe, sizes = cols["ids"][i], cols["recipe"][i], cols["sizes"][i]
                 ends = 2 * np.cumsum(np.frombuffer(sizes, "<u4")).astype(np.int64)
                 mark = np.zeros(len(ends), np.uint8)
                 mark[own or []] = 1
-                out["owned"].append(mark.tobytes())
-                out["payload"].append(b"".join(ids[(ends[i - 1] if i else 0) : ends[i]] for i in np.flatnonzero(mark).tolist()))
-                out["root"].append(merkle([recipe[i : i + 16] for i in range(0, len(recipe), 16)]))
+                payload = b"".join(ids[(ends[k - 1] if k else 0) : ends[k]] for k in np.flatnonzero(mark).tolist())
+                root = merkle([recipe[k : k + 16] for k in range(0, len(recipe), 16)])
+                for name, v in zip(out, (cols["doc_id"][i], at, start, cols["n_tokens"][i], recipe, sizes, mark.tobytes(), payload, root), strict=True):
+                    out[name].append(v)
             yield from arrow_rows(out, schema)
 
-    spark = docs.sparkSession
-    ddl = "doc_id long, did long, rk long, no long, start long, n_tokens long, recipe binary, sizes binary, owned binary, payload binary, root binary"
-    # one shuffle of the ids: both sides are dealt by range, and the merge join leaves each range in order
-    bounds = sorted(r.d for r in told.groupBy("part").agg(F.min("did").alias("d")).collect())
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda d: d <= F.col("did"))).alias("part") if bounds else F.lit(0).alias("part")
-    key = ["part", "did", "rk", "no"]
-    rows = encoded.select("doc_id", "did", "rk", "no", "ids", "recipe", "sizes", "n_tokens", part).repartition("part").hint("merge")
-    rows = rows.join(told.select(part, "did", "rk", "no", "start", "own").repartition("part"), key).drop("part").mapInArrow(build, ddl)
-    for name, value in _WRITING.items():
-        spark.conf.set(name, value)
-    try:
-        rows.write.option("compression", "zstd").parquet(f"{path}/documents")
-    finally:
-        for name in _WRITING:
-            spark.conf.unset(name)
+    # the ids are shuffled once: rows and what they are told meet in their part, each next to the other in order
+    if list(numbers) != list(numbers.values()):
+        told = told.join(F.broadcast(spark.createDataFrame(list(numbers.items()), "part int, k int")), "part").drop("part").withColumnRenamed("k", "part")
+    said = told.select("part", "did", "rk", "no", F.lit(None).cast("long").alias("doc_id"), "start", "n_tokens", "own", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "recipe", "sizes")])
+    rows = _dealt(encoded, bounds).union(said).repartitionById(max(1, len(numbers)), F.col("part"))
+    rows = rows.sortWithinPartitions("did", "rk", "no", F.col("start").isNull())
+    ddl = "doc_id long, part int, start long, n_tokens long, recipe binary, sizes binary, owned binary, payload binary, root binary"
+    with settings(spark, {CLEANUP: "true"}):
+        rows.mapInArrow(build, ddl).write.option("compression", "zstd").parquet(f"{path}/documents")
     drop(encoded)
-    done = spark.read.parquet(f"{path}/documents").select(F.input_file_name().alias("file"), "start", "root")
-    leaves = F.array_sort(F.collect_list(F.struct("start", "root")))
-    done.groupBy("file").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("documents"), F.sha2(F.concat_ws("", F.transform(leaves, lambda x: F.hex(x["root"]))), 256).alias("root")).write.parquet(f"{path}/manifest")
+    drop(kept)
+    _fold(spark.read.parquet(f"{path}/documents")).write.parquet(f"{path}/manifest")
+    documents, tokens, root = _crown(spark.read.parquet(f"{path}/manifest"))
+    if (documents, tokens) != (total.n, total.t):
+        raise ValueError(f"wrote {documents} documents and {tokens} ids of {total.n} and {total.t}")
+    spark.createDataFrame([(documents, tokens, bytearray(root))], "documents long, tokens long, root binary").write.parquet(f"{path}/root")
+
+
+def _against_manifest(spark: SparkSession, seen: DataFrame, path: str) -> None:
+    """The rows that were read must be those of the manifest, and the manifest that of the root."""
+    manifest = spark.read.schema("part int, start long, documents long, tokens long, root binary").parquet(f"{path}/manifest")
+    kept = spark.read.parquet(f"{path}/root").first()
+    if _crown(manifest) != (kept.documents, kept.tokens, bytes(kept.root)):
+        raise ValueError("the manifest fails its root")
+    found = _fold(seen)
+    joined = manifest.alias("m").join(found.alias("f"), F.col("m.part") == F.col("f.part"), "full")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"f.{c}")) for c in manifest.columns]
+    bad = joined.where(~(same[0] & same[1] & same[2] & same[3] & same[4])).select(F.coalesce("m.part", "f.part").alias("part")).limit(5).collect()
+    if bad:
+        raise ValueError(f"parts {sorted(r.part for r in bad)} fail the manifest: documents were lost, added or changed")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the files alone; a payload or recipe that fails its check is an error."""
-    ddl = "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<int>, crcs array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64()))])
+    """doc_id, start, n_tokens, ids_crc32, from the files alone; whatever fails its check is an error."""
+    ddl = "doc_id long, part int, start long, n_tokens long, root binary, digests array<binary>, sizes array<int>, crcs array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64()))])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out: dict[str, list] = {f.name: [] for f in schema}
-            for d, start, n, recipe, sizes, owned, payload, root in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            for d, p, start, n, recipe, sizes, owned, payload, root in zip(*(b.column(i).to_pylist() for i in range(9)), strict=True):
                 names = [recipe[i : i + 16] for i in range(0, len(recipe), 16)]
                 if merkle(names) != root:
                     raise ValueError(f"recipe of document {d} fails its root")
                 counts, crcs, at = np.frombuffer(sizes, "<u4").tolist(), [], 0
                 for name, size, own in zip(names, counts, owned, strict=True):
                     if own:
-                        part = payload[at : at + 2 * size]
+                        piece = payload[at : at + 2 * size]
                         at += 2 * size
-                        if digest(part) != name:
+                        if digest(piece) != name:
                             raise ValueError(f"a chunk of document {d} fails its digest")
-                        crcs.append(zlib.crc32(np.frombuffer(part, "<u2").astype("<u4").tobytes()))
+                        crcs.append(zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4").tobytes()))
                     else:
                         crcs.append(None)
-                for key, v in zip(out, (d, start, n, names, counts, crcs), strict=True):
+                if at != len(payload):
+                    raise ValueError(f"document {d} holds more than its chunks")
+                for key, v in zip(out, (d, p, start, n, root, names, counts, crcs), strict=True):
                     out[key].append(v)
             yield from arrow_rows(out, schema)
 
@@ -241,8 +354,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     out[key].append(v)
             yield from arrow_rows(out, end)
 
-    rows = spark.read.parquet(f"{path}/documents").select("doc_id", "start", "n_tokens", "recipe", "sizes", "owned", "payload", "root")
+    rows = spark.read.parquet(f"{path}/documents").select("doc_id", "part", "start", "n_tokens", "recipe", "sizes", "owned", "payload", "root")
     seen = cut(rows.mapInArrow(verify, ddl), "seen")
+    _against_manifest(spark, seen, path)
     each = seen.select("start", F.posexplode(F.arrays_zip("digests", "crcs")).alias("i", "c")).select("start", "i", "c.digests", "c.crcs")
     have = each.where("crcs is not null").select("digests", F.col("crcs").alias("crc"))
     lacks = each.where("crcs is null").select("start", "i", "digests")
