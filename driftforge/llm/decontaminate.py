@@ -1,20 +1,26 @@
 """Operator 8: benchmark decontamination by SimHash of item-sized windows.
 
 An item is a multiset of 5-word shingles. Windows of as many words as the item has are fingerprinted (a window's bit
-sums are a difference of prefix sums) and looked up in a multi-index: 8 blocks of 8 bits, each with the items within 3
-bits of every block value, so that all items within 24 bits are found (pigeonhole). Candidates are verified exactly:
-the weighted Jaccard similarity of the shingle counts must reach 0.8. Windows are only formed where an item's shingle
-occurs: a window without one has similarity 0. Documents stream past; nothing of them is shuffled.
+sums are a difference of prefix sums, formed once for all items of one length) and looked up in a multi-index: 8 blocks
+of 8 bits, each with the items within 3 bits of every block value, so that all items within 24 bits are found
+(pigeonhole). Candidates are verified exactly: the weighted Jaccard similarity of the shingle counts must reach 0.8.
+
+Windows are only formed around an item's rare shingles: a similarity of 0.8 needs four fifths of the item's shingles, so
+of its rarest ones that make up more than a fifth at least one is in the window. A shingle that very many items share
+is hardly ever among these. Documents stream past; nothing of them is shuffled.
 
 Benchmark items are broadcast, CHUNK items at a time, so what is broadcast is bounded; larger benchmarks take more passes.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. Items of fewer than five words are
-one shingle of their own length, looked up as such in every document. Edge cases: null or wordless texts match nothing; a document shorter than an item is one
-window; null doc_id stays null; repeated rows are matched each; empty tables give no rows.
+one shingle of their own length, looked up as such in every document. Edge cases: null or wordless texts match nothing;
+a document shorter than an item is one window; a very long text is searched region by region; of equally similar windows
+the first counts; null doc_id stays null; repeated rows are matched each, repeated items are each found; empty tables
+give no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,98 +49,120 @@ def _shingles(t: list, size: int) -> list[tuple]:
     return list(zip(*(t[i:] for i in range(size)), strict=False))
 
 
+class _Signs(dict):
+    """Shingle -> +1 and -1 for the bits of its hash; only shingles near items are ever asked for."""
+
+    bound = 200_000
+
+    def __missing__(self, s: tuple) -> np.ndarray:
+        if len(self) >= self.bound:
+            self.clear()
+        h = np.array([xxh64_intdigest(repr(s).encode())], "<u8")
+        self[s] = v = 2 * np.unpackbits(h.view(np.uint8), bitorder="little").astype(np.int32) - 1
+        return v
+
+
 class Index:
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.ids = _Vocabulary()
-        self.items: list[tuple[int, int, Counter]] = []  # item_id, words, shingle counts
-        self.where: dict[tuple, list[int]] = {}
+        self.signs = _Signs()
+        self.items: list[tuple[list[int], int, Counter]] = []  # item_ids of the same words, words, shingle counts
+        known: dict[tuple, int] = {}
         prints = []
-        self.bits: dict[tuple, np.ndarray] = {}
         for item, text in items:
-            t = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
+            t = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text))
             if not t:
                 continue
+            if t in known:
+                self.items[known[t]][0].append(item)
+                continue
+            known[t] = len(self.items)
             counts = Counter(_shingles(t, min(SHINGLE, len(t))))
-            self.items.append((item, len(t), counts))
-            for s in counts:
-                self.where.setdefault(s, []).append(len(self.items) - 1)
-            prints.append(sum((n * self._signs(s) for s, n in counts.items()), np.zeros(64, np.int64)) > 0)
+            self.items.append(([item], len(t), counts))
+            prints.append(sum((n * self.signs[s] for s, n in counts.items()), np.zeros(64, np.int64)) > 0)
+        in_items = Counter(s for _, _, counts in self.items for s in counts)
+        self.where: dict[tuple, list[int]] = {}  # rare shingle -> items
+        for i, (_, _, counts) in enumerate(self.items):
+            slack = counts.total() - math.ceil(SIMILARITY * counts.total() - 1e-9)
+            for s in sorted(counts, key=lambda s: (in_items[s], s)):
+                self.where.setdefault(s, []).append(i)
+                slack -= counts[s]
+                if slack < 0:
+                    break
         self.sizes = sorted({len(s) for s in self.where})
-        self.prints = np.array(prints, bool).reshape(-1, 64)
-        packed = np.packbits(self.prints, axis=1, bitorder="little")  # items x 8 blocks
+        self.rare = np.zeros(len(self.ids) + 1, bool)  # words of rare shingles
+        self.rare[[w for s in self.where for w in s]] = True
+        self.packed = np.packbits(np.array(prints, bool).reshape(-1, 64), axis=1, bitorder="little")  # items x 8 blocks
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // 8
-        self.table = [near[:, packed[:, b]] for b in range(8)]  # of each block: value x items
-
-    def _signs(self, s: tuple) -> np.ndarray:
-        """+1 and -1 for the bits of a shingle's hash; only shingles of documents near items are ever asked for."""
-        h = np.array([xxh64_intdigest(repr(s).encode())], "<u8")
-        return 2 * np.unpackbits(h.view(np.uint8), bitorder="little").astype(np.int64) - 1
+        self.table = [near[:, self.packed[:, b]] for b in range(8)]  # of each block: value x items
 
-    def within(self, prints: np.ndarray) -> np.ndarray:
-        """windows x items: which items each fingerprint is within RADIUS of, by blocks and then exactly."""
+    def within(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of fingerprints within RADIUS: by blocks, then exactly."""
         packed = np.packbits(prints, axis=1, bitorder="little")
-        found = np.zeros((len(prints), len(self.items)), bool)
+        found = np.zeros((len(prints), len(items)), bool)
         for b in range(8):
-            found |= self.table[b][packed[:, b]]
-        w, i = np.nonzero(found)
-        found[w, i] = (prints[w] != self.prints[i]).sum(1) <= RADIUS
-        return found
+            found |= self.table[b][packed[:, b][:, None], items]
+        w, k = np.nonzero(found)
+        near = np.bitwise_count(packed[w] ^ self.packed[items[k]]).sum(1, dtype=np.int64) <= RADIUS
+        return w[near], items[k[near]]
 
     def search(self, text: bytes) -> list[tuple[int, int, int, float]]:
         """(item_id, first word, words, similarity): the best window of each matched item, the first of equals."""
         words = words_of(text)
         t = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         n = len(t)
-        on = np.concatenate(([0], (t > 0).astype(np.int8), [0]))
+        on = np.concatenate(([0], self.rare[t].astype(np.int8), [0]))
         edge = np.flatnonzero(on[1:] != on[:-1]).reshape(-1, 2)
-        hits: dict[int, list[int]] = {}
+        # windows of one length are formed once, whichever items ask for them
+        groups: dict[tuple[int, int], tuple[set, set]] = {}  # words, shingle size -> items, ranges of starts
         for size in self.sizes:
             for a, b in edge[edge[:, 1] - edge[:, 0] >= size].tolist():
                 run = t[a:b].tolist()
                 for k in range(len(run) - size + 1):
                     for i in self.where.get(tuple(run[k : k + size]), ()):
-                        at = hits.setdefault(i, [])
-                        if size == SHINGLE or not at:  # a shorter shingle is its whole item: the first place is the best
-                            at.append(a + k)
-        if not hits:
+                        length = min(self.items[i][1], n)
+                        who, at = groups.setdefault((length, size), (set(), set()))
+                        if size < SHINGLE and i in who:  # a shorter shingle is its whole item: the first place is the best
+                            continue
+                        who.add(i)
+                        at.add((max(0, a + k - length + size), min(a + k, n - length)))
+        if not groups:
             return []
         # words that no item has get numbers of their own here, so that different words stay different
         own: dict[bytes, int] = {}
         full = [x or -own.setdefault(w, len(own) + 1) for x, w in zip(t.tolist(), words, strict=True)]
         best: dict[int, tuple[float, int, int]] = {}
-        for i, at in hits.items():
-            item, length, counts = self.items[i]
-            size, length = min(SHINGLE, length), min(length, n)
-            starts = sorted({s for p in at for s in range(max(0, p - length + size), min(p, n - length) + 1)})
-            for part in _regions(starts):
-                self._windows(full, part, length, size, best)
-        return [(self.items[i][0], s, k, sim) for i, (sim, s, k) in sorted(best.items())]
-
-    def _windows(self, full: list[int], starts: range, length: int, size: int, best: dict) -> None:
+        for (length, size), (who, ranges) in groups.items():
+            items = np.array(sorted(who))
+            for part in _regions(ranges):
+                self._windows(full, part, length, size, items, best)
+        return sorted(((item, s, k, sim) for i, (sim, s, k) in best.items() for item in self.items[i][0]), key=lambda r: (r[0] is None, r[0] or 0))
+
+    def _windows(self, full: list[int], starts: range, length: int, size: int, items: np.ndarray, best: dict) -> None:
         region = full[starts[0] : starts[-1] + length]
         shingles = _shingles(region, size)
         each = len(shingles) - len(starts) + 1
-        sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum([self._signs(s) for s in shingles], axis=0)))
+        sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum([self.signs[s] for s in shingles], axis=0)))
         prints = sums[each:] - sums[:-each] > 0
-        for w, i in zip(*np.nonzero(self.within(prints)), strict=True):
-            i = int(i)
-            if min(self.items[i][1], len(full)) != length:
-                continue
-            counts, mine = self.items[i][2], Counter(shingles[w : w + each])
+        last, mine = -1, Counter()
+        for w, i in zip(*(x.tolist() for x in self.within(prints, items)), strict=True):
+            if w != last:
+                last, mine = w, Counter(shingles[w : w + each])
+            counts = self.items[i][2]
             both = sum(min(n, mine[s]) for s, n in counts.items())
-            sim = both / (sum(counts.values()) + each - both)
+            sim = both / (counts.total() + each - both)
             if sim >= SIMILARITY and (i not in best or (sim, -starts[w]) > (best[i][0], -best[i][1])):
                 best[i] = (sim, starts[w], length)
 
 
-def _regions(starts: list[int]) -> Iterator[range]:
-    first = last = starts[0]
-    for s in starts[1:]:
-        if s != last + 1 or s - first >= 512:
-            yield range(first, last + 1)
-            first = s
-        last = s
-    yield range(first, last + 1)
+def _regions(ranges: set[tuple[int, int]], most: int = 512) -> Iterator[range]:
+    """Inclusive ranges of starts, joined where they meet and cut at `most` starts."""
+    at = -1
+    for a, b in sorted(ranges):
+        a = max(a, at)
+        for first in range(a, b + 1, most):
+            yield range(first, min(b + 1, first + most))
+        at = max(at, b + 1)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -184,7 +212,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: documents that hold a benchmark item go; null texts and null doc_ids stay, empty tables stay empty."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
