@@ -9,8 +9,10 @@ k-grams at equal places. So it is enough to
   4. let a shard operator (suffix array, suffix automaton) find the equal windows of the shard's distinct snippets.
 Anchors that a batch already holds twice, and snippets that it already holds for a smaller document, are settled in
 the batch. So a passage that a third of all documents share costs one row for each batch, not for each document.
-Where such a passage ends, an anchor has as many different snippets as documents. An anchor that HOT batches or more
-hold is therefore brought together window by window, each under a key of its own, so that no task gets it whole.
+Where such a passage ends, an anchor has as many different snippets as documents. Anchors with HOT snippets or more are
+therefore taken apart: the windows for which they speak are told shared or not as anchors were (steps 1 and 2 with
+hashes of whole windows), and only shared windows move on, each under a key of its own. No key has more than about HOT
+rows then, or one row for each batch.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from driftforge.llm.common import arrow_rows, blobs, cut, ints, keyed, pow2, sma
 #: Tokens that are hashed at once; longer documents are hashed in overlapping pieces.
 CHUNK = 1 << 19
 PIECE = 1 << 22
-#: Batches from which an anchor is hot; below, it has at most HOT times a batch's rows.
-HOT = 256
+#: Different snippets from which an anchor is hot.
+HOT = 4096
 #: Marks a hot anchor; anchors have 32 bits and those of the bucket.
 _MARK = np.uint64(1 << 63)
 #: Rows of one anchor at which a shard lets go of those that are settled.
 COMPACT = 65_536
-NOBODY = np.uint32(0xFFFFFFFF)
+#: Set in an entry that stands for several documents of a batch; the other bits count their different snippets.
+_SEVERAL = np.uint32(1 << 31)
 _LO = np.uint64((1 << 24) - 1)
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -87,10 +90,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(pieces: list[tuple[int, int, np.ndarray]], width: int, k: int) -> tuple[np.ndarray, ...]:
-    """pieces: (document, first token's place, tokens). For each anchor: document, hash, first and last window start."""
+    """pieces: (document, first token's place, tokens).
+
+    For each anchor: document, hash, first and last window start, and a hash of the snippet's two ends.
+    """
     pieces = [p for p in pieces if len(p[2]) >= width]
     if not pieces:
-        return tuple(np.empty(0, d) for d in (np.int64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, d) for d in (np.int64, np.uint64, np.int64, np.int64, np.uint64))
     lens = np.array([len(p[2]) for p in pieces])
     t = np.concatenate([p[2] for p in pieces])
     h = gram_hashes(t, k)
@@ -106,7 +112,8 @@ def anchors(pieces: list[tuple[int, int, np.ndarray]], width: int, k: int) -> tu
     last = np.concatenate((first[1:], [len(at)])) - 1
     piece = np.searchsorted(ends, s[first], "right")
     shift = np.array([p[1] for p in pieces])[piece] - (ends - lens)[piece]
-    return np.array([p[0] for p in pieces], np.int64)[piece], h[at[first]], s[first] + shift, s[last] + shift
+    ends_hash = h[s[first]] * _MUL[1] ^ h[s[last] + width - k]
+    return np.array([p[0] for p in pieces], np.int64)[piece], h[at[first]], s[first] + shift, s[last] + shift, ends_hash
 
 
 def scan(texts: list[bytes], plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
@@ -127,25 +134,31 @@ def scan(texts: list[bytes], plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _pack(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    did, rk = ints(batch, "did"), ints(batch, "rk")
     got = list(scan(blobs(batch, "text"), plan))
-    if not got:
-        return
-    doc = np.concatenate([g[0] for g in got])
-    pre = np.concatenate([g[1] for g in got]) >> np.uint64(32 - bits)
+    if got:
+        doc, h, _, _, ends = (np.concatenate(x) for x in zip(*got, strict=True))
+        yield from _packed(ints(batch, "did"), ints(batch, "rk"), doc, h >> np.uint64(32 - bits), ends, bits, schema)
+
+
+def _packed(did: np.ndarray, rk: np.ndarray, doc: np.ndarray, pre: np.ndarray, what: np.ndarray, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch: its documents and what they hold (pre), bucket by bucket; `what` tells snippets apart."""
     if not len(doc):
         return
     # rows that repeat an id count as one document here
     same = np.unique(did, return_inverse=True)[1]
     order = np.lexsort((doc, pre))
-    doc, pre = doc[order], pre[order]
+    doc, pre, what = doc[order], pre[order], what[order]
     keep = np.concatenate(([True], (pre[1:] != pre[:-1]) | (doc[1:] != doc[:-1])))
-    doc, pre = doc[keep], pre[keep]
+    doc, pre, what = doc[keep], pre[keep], what[keep]
     start = np.flatnonzero(np.concatenate(([True], pre[1:] != pre[:-1])))
     n = np.diff(np.concatenate((start, [len(pre)])))
     low, high = np.minimum.reduceat(same[doc], start), np.maximum.reduceat(same[doc], start)
     multi = low != high
     known = np.repeat(multi, n)
+    group = np.repeat(np.arange(len(n)), n)[known]
+    order = np.lexsort((what[known], group))
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (what[known][order][1:] != what[known][order][:-1])))[: len(group)]
+    different = np.bincount(group[new], minlength=len(n)).astype(np.uint32)
     bid = xxh64_intdigest(did.tobytes() + rk.tobytes()) >> 1
     out: dict[str, list] = {f.name: [] for f in schema}
 
@@ -154,11 +167,11 @@ def _pack(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> It
             out[name].append(v)
 
     row(bid % (1 << bits), 1, np.stack((did, rk)), doc[known].astype(np.uint32), pre[known])
-    # an entry for each anchor and document; no document where the batch knows already that the anchor is shared
+    # an entry for each anchor and document; one for all documents where the batch knows already that they share it
     first = np.zeros(len(pre), bool)
     first[start] = True
     take = ~known | first
-    e_doc, e_pre = np.where(known, NOBODY, doc.astype(np.uint32))[take], pre[take]
+    e_doc, e_pre = np.where(known, _SEVERAL | np.repeat(different, n), doc.astype(np.uint32))[take], pre[take]
     bucket = (e_pre >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     for lo, hi in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
@@ -166,6 +179,42 @@ def _pack(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> It
     yield from arrow_rows(out, schema)
 
 
+def _hot_windows(x: bytes, lo: np.ndarray, hi: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows in ranges of window starts of a text."""
+    t = plan.tokens(x)
+    spans = [(v >> 32, v & 0xFFFFFFFF) for v in _spans(lo, hi).tolist()]
+    return np.concatenate([np.arange(a, b + 1) for a, b in spans]), np.concatenate([gram_hashes(t[a : b + plan.width], plan.width) for a, b in spans])
+
+
+def _shared_lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+    parts = batch.column(batch.schema.get_field_index(name)).to_pylist()
+    return [np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(y, np.uint64) for y in x or ())])) for x in parts]
+
+
+def _documents(doc: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal documents."""
+    edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
+    yield from zip(edges, [*edges[1:], len(doc)], strict=True) if len(doc) else ()
+
+
+def _pack_windows(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """As _pack, of the windows of hot anchors."""
+    texts = blobs(batch, "text")
+    hot_of = [x[x >= _MARK] ^ _MARK for x in _shared_lists(batch, "shared")]
+    docs, found = [], []
+    for doc, h, lo, hi, _ in scan(texts, plan):
+        pre = h >> np.uint64(32 - bits)
+        for a, b in _documents(doc):
+            hot = np.isin(pre[a:b], hot_of[doc[a]])
+            if hot.any():
+                _, w = _hot_windows(texts[doc[a]], lo[a:b][hot], hi[a:b][hot], plan)
+                found.append(np.unique(w >> np.uint64(32 - bits)))
+                docs.append(np.full(len(found[-1]), doc[a]))
+    if found:
+        doc, pre = np.concatenate(docs), np.concatenate(found)
+        yield from _packed(ints(batch, "did"), ints(batch, "rk"), doc, pre, pre, bits, schema)
+
+
 def _shared(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
     """Of one bucket: the entries of each batch whose anchor another batch, or the batch itself, holds too.
 
@@ -178,21 +227,27 @@ def _shared(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
         bucket = int(pdf.bucket.iloc[0])
         docs = [np.frombuffer(x, np.uint32) for x in rest.b]
         pre = [np.frombuffer(x, np.uint32) for x in rest.c]
-        # a batch counts once for each anchor
-        uniq = [np.unique(x) for x in pre]
-        values, count = np.unique(np.concatenate(uniq), return_counts=True)
-        local = [p[d == NOBODY] for p, d in zip(pre, docs, strict=True)]
-        common = np.union1d(values[count > 1], np.concatenate(local))
+        several = [d >= _SEVERAL for d in docs]
+        every = np.concatenate(pre)
+        weight = np.concatenate([np.where(x, d ^ _SEVERAL, 1) for x, d in zip(several, docs, strict=True)])
+        values, at, count = np.unique(every, return_inverse=True, return_counts=True)
+        snippets = np.bincount(at, weight)
+        # a batch holds an anchor of one document alone in one entry, or of one document's rows in several
+        batch = np.repeat(np.arange(len(pre)), [len(x) for x in pre])
+        order = np.lexsort((batch, every))
+        again = (every[order][1:] == every[order][:-1]) & (batch[order][1:] == batch[order][:-1])
+        count -= np.bincount(at[order[1:]][again], minlength=len(values))
+        common = np.union1d(values[count > 1], np.concatenate([p[x] for p, x in zip(pre, several, strict=True)]))
         b, c = [], []
-        for p, d in zip(pre, docs, strict=True):
-            at = np.minimum(np.searchsorted(common, p), max(0, len(common) - 1))
-            hit = (common[at] == p) & (d != NOBODY) if len(common) else np.zeros(len(p), bool)
+        for p, d, x in zip(pre, docs, several, strict=True):
+            i = np.minimum(np.searchsorted(common, p), max(0, len(common) - 1))
+            hit = (common[i] == p) & ~x if len(common) else np.zeros(len(p), bool)
             b.append(d[hit].tobytes())
             c.append((p[hit].astype(np.uint64) | np.uint64(bucket << 32)).tobytes())
         rows.append(pd.DataFrame({"bid": rest.bid.to_numpy(), "kind": 0, "a": [b""] * len(rest), "b": b, "c": c}))
-        hot = values[count >= most]
+        hot = values[snippets >= most]
         if len(hot):
-            c = [(x[np.isin(x, hot)].astype(np.uint64) | np.uint64(bucket << 32)).tobytes() for x in uniq]
+            c = [(np.unique(x[np.isin(x, hot)]).astype(np.uint64) | np.uint64(bucket << 32)).tobytes() for x in pre]
             rows.append(pd.DataFrame({"bid": rest.bid.to_numpy(), "kind": 2, "a": [b""] * len(rest), "b": [b""] * len(rest), "c": c}))
     return pd.concat(rows)
 
@@ -209,7 +264,7 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     doc, pre = doc[order], pre[order]
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
     parts = np.split(pre, start[1:]) if len(doc) else []
-    return pd.DataFrame({"did": ids[0][doc[start]], "rk": ids[1][doc[start]], "shared": [x.tobytes() for x in parts]})
+    return pd.DataFrame({"did": ids[0][doc[start]], "rk": ids[1][doc[start]], "shared": [x.tobytes() for x in parts], "hot": [bool((x >= _MARK).any()) for x in parts]})
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -223,30 +278,26 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 def _snippets(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     did, rk, texts = ints(batch, "did").tolist(), ints(batch, "rk").tolist(), blobs(batch, "text")
-    shared = [[np.frombuffer(y, np.uint64) for y in x] for x in batch.column(batch.schema.get_field_index("shared")).to_pylist()]
-    shared = [np.unique(np.concatenate(x)) for x in shared]
+    shared, windows = _shared_lists(batch, "shared"), _shared_lists(batch, "windows")
     hot_of = [x[x >= _MARK] ^ _MARK for x in shared]
     shared = [np.unique(x & ~_MARK) if len(y) else x for x, y in zip(shared, hot_of, strict=True)]
     found: dict[tuple[int, bytes], list] = {}
-    cut, cut_of = None, -1
-    for doc, h, lo, hi in scan(texts, plan):
+    for doc, h, lo, hi, _ in scan(texts, plan):
         pre = h >> np.uint64(32 - bits)
-        edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
-        hit, hot = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-        for a, b in zip(edges, [*edges[1:], len(doc)], strict=True):
-            s = shared[doc[a]]
-            hit[a:b] = s[np.minimum(np.searchsorted(s, pre[a:b]), len(s) - 1)] == pre[a:b]
-            if len(hot_of[doc[a]]):
-                hot[a:b] = np.isin(pre[a:b], hot_of[doc[a]])
-        for d, x, f, t, split in zip(doc[hit].tolist(), h[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist(), hot[hit].tolist(), strict=True):
-            if d != cut_of:
-                cut, cut_of = plan.cutter(texts[d]), d
-            if split:
-                for s in range(f, t + 1):
-                    window = cut(s, s + plan.width)
-                    found.setdefault((xxh64_intdigest(window, x & 0xFFFFFFFF) - (1 << 63), window), []).append((d, s, s))
-                continue
-            found.setdefault((x, cut(f, t + plan.width)), []).append((d, f, t))
+        for a, b in _documents(doc):
+            d, s, p = int(doc[a]), shared[doc[a]], pre[a:b]
+            hit = s[np.minimum(np.searchsorted(s, p), len(s) - 1)] == p
+            cut = plan.cutter(texts[d])
+            if len(hot_of[d]):
+                hot = np.isin(p, hot_of[d])
+                hit &= ~hot
+                if hot.any():
+                    at, w = _hot_windows(texts[d], lo[a:b][hot], hi[a:b][hot], plan)
+                    told = np.isin(w >> np.uint64(32 - bits), windows[d])
+                    for x, f in zip(w[told].view(np.int64).tolist(), at[told].tolist(), strict=True):
+                        found.setdefault((x, cut(f, f + plan.width)), []).append((d, f, f))
+            for x, f, t in zip(h[a:b][hit].view(np.int64).tolist(), lo[a:b][hit].tolist(), hi[a:b][hit].tolist(), strict=True):
+                found.setdefault((x, cut(f, t + plan.width)), []).append((d, f, t))
     rows: list[tuple] = []
     settled: dict[int, list] = {}
     for (x, snippet), where in found.items():
@@ -364,10 +415,20 @@ def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int
     text = keyed(docs).select("did", "rk", "text")
     bits = pow2(docs.count() / plan.docs_per_bucket, 16).bit_length() - 1
     packed_schema = pa.schema([("bucket", pa.int64()), ("bid", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-    packed = text.mapInArrow(lambda it: (y for x in it for y in _pack(x, plan, bits, packed_schema)), "bucket long, bid long, kind int, a binary, b binary, c binary")
-    told = packed.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, plan.hot), "bid long, kind int, a binary, b binary, c binary")
-    lists = told.groupBy("bid").applyInPandas(_by_document, "did long, rk long, shared binary").groupBy("did", "rk").agg(F.collect_list("shared").alias("shared"))
-    lists = cut(lists, "anchors")
+
+    def told(rows: DataFrame, pack: Callable, hot: float) -> DataFrame:
+        packed = rows.mapInArrow(lambda it: (y for x in it for y in pack(x, plan, bits, packed_schema)), "bucket long, bid long, kind int, a binary, b binary, c binary")
+        said = packed.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, hot), "bid long, kind int, a binary, b binary, c binary")
+        return said.groupBy("bid").applyInPandas(_by_document, "did long, rk long, shared binary, hot boolean").groupBy("did", "rk").agg(F.collect_list("shared").alias("shared"), F.max("hot").alias("hot"))
+
+    lists = cut(told(text, _pack, plan.hot), "anchors")
+    none = F.lit(None).cast("array<binary>")
+    hot = lists.where("hot")
+    if hot.isEmpty():
+        lists = lists.withColumn("windows", none)
+    else:
+        split = cut(told(text.join(hot, ["did", "rk"]), _pack_windows, float("inf")), "windows")
+        lists = lists.join(split.select("did", "rk", F.col("shared").alias("windows")), ["did", "rk"], "left")
     snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.binary())])
     found = text.join(lists, ["did", "rk"]).mapInArrow(lambda it: (y for x in it for y in _snippets(x, plan, bits, snippet_schema)), "h long, snippet binary, did long, rk long, lo long, hi long, done binary")
     settled = found.repartition("h").sortWithinPartitions("h", "snippet", "did").mapInArrow(lambda it: _settle(it, repeated, shard), "did long, rk long, span long")

@@ -95,12 +95,27 @@ def test_suffix_array_dedup(docs, rows):
 
 
 @pytest.mark.parametrize("operator", [substring, suffix_array])
-def test_hot_anchors(monkeypatch, docs, operator):
-    """Anchors that are brought together window by window give what others give."""
+def test_hot_anchors_batches_and_shards(spark, monkeypatch, docs, operator):
+    """Anchors that are taken apart, small batches, small pieces of texts and small shards give what others give."""
     found = lambda: {(r.did, r.rk): sorted({s for x in r.spans for s in range(x >> 32, (x & 0xFFFFFFFF) + 1)}) for r in operator.removals(docs).collect()}
     want = found()
     monkeypatch.setattr(operator, "PLAN", dataclasses.replace(operator.PLAN, hot=2))
     assert want and found() == want
+    monkeypatch.setattr(anchors, "small_batches", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    assert found() == want
+    monkeypatch.setattr(operator, "PLAN", dataclasses.replace(operator.PLAN, hot=6))
+    monkeypatch.setattr(operator, "SHARD", 300)
+    assert found() == want
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    text = bytes(random.Random(4).choice(b"abc") for _ in range(3000))
+    whole = [np.concatenate(x) for x in zip(*anchors.scan([text], suffix_array.PLAN), strict=True)]
+    monkeypatch.setattr(anchors, "PIECE", 700)
+    monkeypatch.setattr(anchors, "CHUNK", 1000)
+    cut = [np.concatenate(x) for x in zip(*anchors.scan([text], suffix_array.PLAN), strict=True)]
+    spoken = lambda x: {(int(s), int(h)) for h, lo, hi in zip(x[1], x[2], x[3], strict=True) for s in range(lo, hi + 1)}
+    assert spoken(whole) == spoken(cut) and len(spoken(whole)) == 3000 - 49
 
 
 def test_compact():
@@ -118,13 +133,60 @@ def test_suffix_arrays(symbols):
         assert suffix_array.suffix_array(t, symbols).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_suffix_arrays_recurse(monkeypatch):
+    """On text every depth is sorted by induction; runs and copies included."""
+    depths, plain = [], suffix_array.suffix_array
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda t, n: (depths.append((len(t), n)), plain(t, n))[1])
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    text = "".join(rng.choice(words) for _ in range(6000)) + "a" * 5000 + "".join(words) * 3
+    t = np.concatenate((np.frombuffer(text.encode(), np.uint8).astype(np.int64), [0]))
+    sa = suffix_array.suffix_array(t, 256)
+    assert len(depths) > 3 and all(x[0] > 2 * y[0] for x, y in zip(depths, depths[1:], strict=False))
+    rank = np.empty(len(t), np.int64)
+    rank[sa] = np.arange(len(t))
+    a, b = sa[:-1], sa[1:]  # in order: by the first symbol, then by the rest's rank
+    assert (np.sort(sa) == np.arange(len(t))).all()
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[np.minimum(a + 1, len(t) - 1)] < rank[np.minimum(b + 1, len(t) - 1)]))).all()
+
+
+def _snippets(rng):
+    made = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(4, 30))) for _ in range(rng.randint(1, 12))]
+    return made + [rng.choice(made)[:20] + rng.choice(made) for _ in range(5)]
+
+
 def test_common_prefixes():
-    x = b"abracadabra" * 9
-    order = np.array(sorted(range(len(x)), key=lambda i: x[i:]))
-    got = suffix_array.common_prefixes(np.frombuffer(x, np.uint8), order, 30)
-    for a, b in zip(order, order[1:], strict=False):
-        n = next((k for k in range(30) if x[a + k : a + k + 1] != x[b + k : b + k + 1] or a + k >= len(x)), 30)
-        assert min(n, 30) == got[b] or max(a, b) + got[b] > len(x)
+    rng = random.Random(1)
+    for _ in range(60):
+        snippets = _snippets(rng)
+        symbols = [x for s in snippets for x in [*(c + 2 for c in s), 1]] + [0]
+        rest = np.array([len(s) - i for s in snippets for i in range(len(s) + 1)])
+        data = np.frombuffer(b"\x00".join(snippets) + b"\x00", np.uint8)
+        sa = suffix_array.suffix_array(np.array(symbols), 258)[1:]
+        got = suffix_array.common_prefixes(data, sa, rest)
+        assert got[sa[0]] == 0
+        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
+            n = next(k for k in range(len(symbols)) if symbols[a + k] != symbols[b + k])
+            assert got[b] == min(n, rest[a], rest[b])
+
+
+@pytest.mark.parametrize("operator", [substring, suffix_array])
+def test_repeated_windows_of_a_shard(operator):
+    rng = random.Random(2)
+    for _ in range(60):
+        snippets = _snippets(rng)
+        if operator is substring:
+            snippets = [b" ".join(bytes([97 + c % 3]) for c in s) for s in snippets]
+        snippets = sorted(set(snippets))
+        documents = [rng.randrange(5) for _ in snippets]
+        split = (lambda s: s.split()) if operator is substring else bytes
+        windows = [[tuple(split(s)[i : i + 4]) for i in range(len(split(s)) - 3)] for s in snippets]
+        first = {}
+        for w, d in zip(windows, documents, strict=True):
+            for x in w:
+                first[x] = min(d, first.get(x, d))
+        got = operator.repeated(snippets, documents, 4)
+        assert [x.tolist() for x in got] == [[i for i, x in enumerate(w) if first[x] < d] for w, d in zip(windows, documents, strict=True)]
 
 
 def test_automaton():
@@ -205,6 +267,62 @@ def test_token_store(spark, docs, rows, encoder, tmp_path):
     assert ids[:-1] == sorted(ids[:-1]) and ids[-1] is None
 
 
+def test_a_damaged_store_is_an_error(spark, docs, tmp_path):
+    path = tmp_path / "store"
+    store.write_store(docs, f"file://{path}", part=2000)
+    read = lambda: store.read_store(spark, f"file://{path}").count()
+    whole, files = read(), sorted((path / "documents").glob("*.parquet"))
+    assert whole == docs.count() and len(files) > 3
+    rows = spark.read.parquet(f"file://{path}/documents").collect()
+    assert all(sum(r.n_tokens for r in rows if r.part == p) < 2000 + max(r.n_tokens for r in rows) for p in {r.part for r in rows})
+
+    def with_table(name, table):
+        kept = path / f"kept-{name}"
+        (path / name).rename(kept)
+        spark.createDataFrame(table, spark.read.parquet(f"file://{kept}").schema).write.parquet(f"file://{path}/{name}")
+        try:
+            with pytest.raises(Exception, match="manifest|digest|root|chunks|starts"):
+                read()
+        finally:
+            import shutil
+
+            shutil.rmtree(path / name)
+            kept.rename(path / name)
+
+    kept = files[1].rename(tmp_path / files[1].name)  # a lost file
+    with pytest.raises(ValueError, match="fail the manifest"):
+        read()
+    kept.rename(files[1])
+    assert read() == whole
+    with_table("documents", rows[1:])  # a lost row
+    with_table("documents", [*rows, rows[3]])  # a row twice
+    changed = next(r for r in rows if len(r.payload) > 4)
+    with_table("documents", [r if r is not changed else type(r)(**(r.asDict() | {"payload": bytearray(b"??") + r.payload[2:]})) for r in rows])  # an altered chunk
+    with_table("documents", [type(r)(**(r.asDict() | {"n_tokens": r.n_tokens + 1})) for r in rows])
+    said = spark.read.parquet(f"file://{path}/manifest").collect()
+    with_table("manifest", said[1:])  # a lost part that the manifest doesn't name either
+
+
+def test_merkle_one_by_one():
+    for n in range(40):
+        leaves, tree = [bytes([i]) for i in range(n)], store.Merkle()
+        for x in leaves:
+            tree.add(x)
+        assert tree.root() == store.merkle(leaves)
+
+
+def test_parts_inside_one_doc_id(spark, encoder, tmp_path):
+    """Rows without an id share one place in the order, and are dealt to several parts all the same."""
+    docs = spark.createDataFrame([(None if i % 2 else i, f"word {i} " * (i % 9)) for i in range(200)] + [(4, "long " * 4000)], "doc_id long, text string").repartition(5)
+    store.write_store(docs, f"file://{tmp_path}/store", part=300)
+    got = sorted(store.read_store(spark, f"file://{tmp_path}/store").collect(), key=lambda r: r.start)
+    assert len(got) == 201 and [r.start + r.n_tokens for r in got[:-1]] == [r.start for r in got[1:]]
+    ids = [r.doc_id for r in got]
+    assert ids == sorted((i for i in ids if i is not None)) + [None] * 100
+    store.write_store(docs.limit(0), f"file://{tmp_path}/none")
+    assert store.read_store(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_crc_join_and_chunks():
     parts = [random.Random(n).randbytes(n) for n in (4, 100, 0, 7, 1024)]
     assert store.crc_join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
@@ -342,6 +460,22 @@ def test_decontamination_of_short_items(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(docs, marks).collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_decontamination_ties_repeats_and_long_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    hot = "one two three four five six"
+    items = [(i, " ".join([word() for _ in range(rng.randint(1, 30))] + [hot])) for i in range(300)]
+    items += [(500, items[7][1]), (None, items[8][1])]
+    long_ = " ".join(word() for _ in range(30_000))
+    docs = [(1, f"{items[7][1]} x {items[7][1]}"), (1, f"{items[7][1]} x {items[7][1]}"), (None, items[8][1]), (3, f"{long_} {items[9][1]} {long_}"), (4, f"{hot} " * 700), (5, hot)]
+    got = [tuple(r) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("did", "rk").collect()]
+    size = lambda i: len(items[i][1].split())
+    want = [(1, 7, 0, size(7), 1.0), (1, 500, 0, size(7), 1.0)] * 2 + [(None, 8, 0, size(8), 1.0), (None, None, 0, size(8), 1.0), (3, 9, 30_000, size(9), 1.0)]
+    assert sorted(map(str, (r for r in got if r[0] not in (4, 5)))) == sorted(map(str, want))
+    index = decontaminate.Index([(i, t.encode()) for i, t in items])
+    assert max(map(len, index.where.values())) <= 20  # the hot shingles stand for few items
+
+
 def test_quality(spark, tmp_path):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
