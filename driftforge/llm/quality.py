@@ -1,14 +1,16 @@
 """Operator 1: quality by co-training of a text view and a page-metadata view.
 
 Two questions are learnt, each by two logistic classifiers that see different views of a document: is it good, and is
-it toxic. The text view is the presence of words and word beginnings, hashed, each scaled by its smoothed log-odds; the
-metadata view is source, language and layout (size, lines, signs, digits, capitals). In each round either classifier
-scores all documents and labels the GIVEN it is surest of for the other; equal texts count once. Both are then calibrated
-on held-out labelled rows and their calibrated logits combined. Training uses at most LABELLED labelled rows, those with
-the least hash of doc_id. Features are written once for the rounds; the last scoring is one pass without a shuffle.
+it toxic. The text view is all that the text itself says: the presence of words and word beginnings and its layout (size,
+lines, signs, digits, capitals), hashed, each scaled by its smoothed log-odds. The metadata view never sees the text: it
+is source, language and the length column, alone and in pairs. In each round either classifier scores all documents and
+labels the GIVEN it is surest of for the other; equal texts count once. Both are then calibrated on held-out labelled
+rows and their calibrated logits combined. Training uses at most LABELLED labelled rows, those with the least hash of
+doc_id. Features are written once for the rounds; the last scoring is one pass without a shuffle.
 
 Edge cases: null text has no words; null metadata is a value of its own; without labels of both kinds everything is
-kept with score 0.5; null doc_id is scored like any other; repeated rows are scored each; an empty table gives no rows.
+kept with score 0.5; null doc_id is scored like any other; repeated rows are scored each; a very long text is one set of
+features; an empty table gives no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ GIVEN, SURE = 409, 0.95
 BITS = 20
 #: Of a feature that counts: log-odds, and standard deviations from what chance gives.
 LEAST_ODDS, LEAST_SURPRISE = 0.7, 4.5
-META = 512
+#: Feature numbers of the text's layout, which follow those of words, and of metadata.
+LAYOUT, META = 512, 1 << 16
 REJECT = 0.5
 
 
@@ -53,22 +57,34 @@ class _Features(dict):
 _words = _Features()
 
 
-def text_view(x: bytes) -> np.ndarray:
-    words = set(licence_words(x))
-    packed = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
-    return np.unique(np.concatenate([(packed >> (BITS * k)) & ((1 << BITS) - 1) for k in range(3)]))
+def _level(v: float) -> int:
+    return int(min(31, max(0, np.log2(v * 1000 + 1))))
 
 
-def meta_view(x: bytes, lang: str | None, source: str | None) -> np.ndarray:
+def layout(x: bytes) -> tuple[str, ...]:
     n = max(1, len(x))
     lines = x.split(b"\n")
     signs = n - len(x.translate(None, b"#*$%&|<>!_=+~^"))
     digits = n - len(x.translate(None, b"0123456789"))
     upper = n - len(x.translate(None, bytes(range(65, 91))))
-    spaces = len(x.split())
-    level = lambda v: int(min(31, max(0, np.log2(v * 1000 + 1))))
-    facts = (f"lang {lang}", f"source {source}", f"size {int(np.log2(n))}", f"lines {int(np.log2(len(lines)))}", f"line {level(n / len(lines) / 1000)}", f"signs {level(signs / n)}", f"digits {level(digits / n)}", f"upper {level(upper / n)}", f"word {min(31, n // max(1, spaces))}", f"same {level(len(set(lines)) / len(lines))}")
-    return np.unique(np.array([xxh32_intdigest(f.encode()) % META for f in facts], np.int64))
+    return (
+        f"size {int(np.log2(n))}", f"lines {int(np.log2(len(lines)))}", f"line {_level(n / len(lines) / 1000)}", f"signs {_level(signs / n)}", f"digits {_level(digits / n)}",
+        f"upper {_level(upper / n)}", f"word {min(31, n // max(1, len(x.split())))}", f"same {_level(len(set(lines)) / len(lines))}",
+    )
+
+
+def text_view(x: bytes) -> np.ndarray:
+    words = set(licence_words(x))
+    packed = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    facts = np.array([(1 << BITS) + xxh32_intdigest(f.encode()) % LAYOUT for f in layout(x)], np.int64)
+    return np.unique(np.concatenate([facts, *((packed >> (BITS * k)) & ((1 << BITS) - 1) for k in range(3))]))
+
+
+@lru_cache(100_000)
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    size = None if n_chars is None else int(np.log2(max(0, n_chars) + 1))
+    facts = (f"lang {lang}", f"source {source}", f"size {size}", f"lang source {lang} {source}", f"lang size {lang} {size}", f"source size {source} {size}")
+    return np.unique(np.array([xxh32_intdigest(f.encode()) & (META - 1) for f in facts], np.int64))
 
 
 @dataclass
@@ -91,8 +107,10 @@ class Sparse:
             out += np.bincount(rows[part], w[self.col[part]], len(out))
         return out
 
-    def take(self, which: np.ndarray) -> Sparse:
-        return Sparse.of([self.col[self.at[i] : self.at[i + 1]] for i in which])
+    def part(self, lo: int, hi: int) -> Sparse:
+        """The features from lo to hi, numbered from 0."""
+        mine = (self.col >= lo) & (self.col < hi)
+        return Sparse(np.concatenate(([0], np.cumsum(mine)))[self.at], self.col[mine] - lo)
 
 
 def _parts(n: int, most: int = 1 << 20) -> list[slice]:
@@ -163,21 +181,33 @@ class Model:
 
 
 class Head:
-    """A question's two views: text and metadata features of labelled rows, their labels, and what each view was given."""
+    """A question's two views: text and metadata features of labelled rows, their labels, and what each view was given.
+
+    Of the labelled rows a tenth weighs the text view's two halves, words and layout, against each other, and another
+    tenth calibrates the views and their sum; the others train.
+    """
 
     def __init__(self, views: list[list[np.ndarray]], y: np.ndarray) -> None:
         self.views, self.y = views, y
-        self.held = np.arange(len(y)) % 5 == 4  # a fifth is held out for calibration
-        self.ready = len(np.unique(y[~self.held])) == 2 == len(np.unique(y[self.held]))
+        turn = np.arange(len(y)) % 10
+        self.train, self.weigh, self.held = np.flatnonzero((turn != 4) & (turn != 9)), np.flatnonzero(turn == 4), np.flatnonzero(turn == 9)
+        self.ready = all(len(np.unique(y[rows])) == 2 for rows in (self.train, self.weigh, self.held))
         self.given: list[dict[int, tuple[np.ndarray, float]]] = [{}, {}]  # of each view: text's hash -> features, label
         self.fitted: list[tuple[np.ndarray, float]] = []
 
     def fit(self) -> None:
-        train = np.flatnonzero(~self.held)
-        extra = [list(g.values()) for g in self.given]
-        self.fitted = [fit_view(Sparse.of([*(x[i] for i in train), *(f for f, _ in more)]), np.concatenate((self.y[train], [k for _, k in more])), size) for x, more, size in zip(self.views, extra, (1 << BITS, META), strict=True)]
-        held = np.flatnonzero(self.held)
-        z = [Sparse.of([x[i] for i in held]).dot(w) + b for x, (w, b) in zip(self.views, self.fitted, strict=True)]
+        self.fitted = []
+        for x, given, halves in zip(self.views, self.given, ([(0, 1 << BITS), (1 << BITS, (1 << BITS) + LAYOUT)], [(0, META)]), strict=True):
+            rows = Sparse.of([*(x[i] for i in self.train), *(f for f, _ in given.values())])
+            y = np.concatenate((self.y[self.train], [k for _, k in given.values()]))
+            weights, biases = zip(*(fit_view(rows.part(lo, hi), y, hi - lo) for lo, hi in halves), strict=True)
+            if len(halves) > 1:
+                test = Sparse.of([x[i] for i in self.weigh])
+                z = [test.part(lo, hi).dot(w) + b for (lo, hi), w, b in zip(halves, weights, biases, strict=True)]
+                *mix, c = calibrate(np.column_stack(z), self.y[self.weigh])
+                weights, biases = [m * w for m, w in zip(mix, weights, strict=True)], [sum(m * b for m, b in zip(mix, biases, strict=True)) + c]
+            self.fitted.append((np.concatenate(weights), float(sum(biases))))
+        z = [Sparse.of([x[i] for i in self.held]).dot(w) + b for x, (w, b) in zip(self.views, self.fitted, strict=True)]
         self.logits = np.column_stack(z)
 
     def judges(self) -> list[tuple[np.ndarray, float, np.ndarray]]:
@@ -208,12 +238,12 @@ def _featured(docs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x, lang, source = blobs(b, "text"), b.column(4).to_pylist(), b.column(5).to_pylist()
-            rows = {"did": b.column(0), "key": b.column(1), "rk": b.column(2), "t": [_packed(text_view(y)) for y in x], "m": [_packed(meta_view(*y)) for y in zip(x, lang, source, strict=True)]}
+            meta = zip(*(b.column(i).to_pylist() for i in (4, 5, 6)), strict=True)
+            rows = {"did": b.column(0), "key": b.column(1), "rk": b.column(2), "t": [_packed(text_view(y)) for y in blobs(b, "text")], "m": [_packed(meta_view(*y)) for y in meta]}
             yield from arrow_rows(rows, schema)
 
-    did, text, lang, source = F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.col("lang").cast("string"), F.col("source").cast("string")
-    rows = docs.select(did.alias("did"), F.xxhash64(did, text, lang, source).alias("key"), F.xxhash64(text).alias("rk"), text.alias("text"), lang.alias("lang"), source.alias("source"))
+    did, text, lang, source, n = F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")
+    rows = docs.select(did.alias("did"), F.xxhash64(did, text, lang, source, n).alias("key"), F.xxhash64(text).alias("rk"), text.alias("text"), lang.alias("lang"), source.alias("source"), n.alias("n_chars"))
     return rows.mapInArrow(run, "did long, key long, rk long, t binary, m binary")
 
 
@@ -303,9 +333,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, Model | None]:
 def _judged(b: pa.RecordBatch, good: Model | None, toxic: Model | None) -> tuple[list, list, list]:
     """p_quality, p_toxic and kept of each row."""
     q, x_ = [], []
-    lang, source = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lang", "source"))
-    for x, *meta in zip(blobs(b, "text"), lang, source, strict=True):
-        t, m = text_view(x or b""), meta_view(x or b"", *meta)
+    for x, *meta in zip(blobs(b, "text"), *(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars")), strict=True):
+        t, m = text_view(x or b""), meta_view(*meta)
         q.append(round(good.score(t, m), 6) if good else 0.5)
         x_.append(round(toxic.score(t, m), 6) if toxic else 0.5)
     return q, x_, [a >= REJECT and (toxic is None or c < REJECT) for a, c in zip(q, x_, strict=True)]
@@ -323,7 +352,7 @@ def scored(docs: DataFrame, models: dict[str, Model | None]) -> DataFrame:
             yield from arrow_rows({"doc_id": b.column(0), "did": b.column(1), "rk": b.column(2), "p_quality": q, "p_toxic": x_, "kept": kept}, schema)
 
     did, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
-    rows = docs.select(did.alias("doc_id"), F.coalesce(did, F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("rk"), text.alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    rows = docs.select(did.alias("doc_id"), F.coalesce(did, F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("rk"), text.alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     small_batches(docs.sparkSession)
     return rows.mapInArrow(run, "doc_id long, did long, rk long, p_quality double, p_toxic double, kept boolean")
 
@@ -333,7 +362,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go; without labels, all stay."""
     shared = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
     return filtered(docs, lambda: lambda b: _judged(b, shared.value["quality"], shared.value["toxic"])[2])
 

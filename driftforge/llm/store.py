@@ -1,8 +1,7 @@
 """Operator 3: a content-addressed store of token ids.
 
 Ids are cut into chunks where a rolling hash of 16 ids says so, so equal passages give equal chunks wherever they stand.
-A chunk is addressed by a digest of its bytes and stored once, with the least document that has it. The store is three
-tables:
+A chunk is addressed by a digest of its bytes and stored once, with the first row that has it. The store is three tables:
 
   documents   in ascending doc_id order, in parts of about PART ids (rows are dealt by the ids before them, so parts
               are even however doc_ids are spread):
@@ -170,15 +169,15 @@ def _encoded(docs: DataFrame, tokenizer: str | None) -> DataFrame:
 
 
 def _digests(recipe: str = "recipe") -> F.Column:
-    """recipe -> array of (number, digest)."""
+    """recipe -> array of digests."""
     n = (F.octet_length(recipe) / 16).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.substring(F.col(recipe), i * 16 + 1, 16).alias("digest")))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(recipe), i * 16 + 1, 16))
 
 
 def with_starts(sizes: DataFrame) -> DataFrame:
     """did, rk, no, n_tokens -> did, rk, no, n_tokens, start: tokens of all rows before, in order of (did, rk, no).
 
-    The sum runs inside ranges of rows; only a total for each range is summed over all.
+    no tells rows apart. The sum runs inside ranges of rows; only a total for each range is summed over all.
     """
     placed = cut(sizes.repartitionByRange("did", "rk", "no").withColumn("range", F.spark_partition_id()), "ranges")
     totals = placed.groupBy("range").agg(F.sum("n_tokens").alias("total"))
@@ -188,8 +187,8 @@ def with_starts(sizes: DataFrame) -> DataFrame:
     return running.join(before, "range").select("did", "rk", "no", "n_tokens", (F.col("own") + F.col("before")).alias("start"))
 
 
-_ROW = [("part", pa.int32()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("own", pa.list_(pa.int32())), ("ids", pa.binary()), ("recipe", pa.binary()), ("sizes", pa.binary())]
-_ROW_DDL = "part int, did long, rk long, no long, doc_id long, start long, n_tokens long, own array<int>, ids binary, recipe binary, sizes binary"
+_ROW = [("part", pa.int32()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("own", pa.list_(pa.binary())), ("ids", pa.binary()), ("recipe", pa.binary()), ("sizes", pa.binary())]
+_ROW_DDL = "part int, did long, rk long, no long, doc_id long, start long, n_tokens long, own array<binary>, ids binary, recipe binary, sizes binary"
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -204,7 +203,7 @@ def _dealt(encoded: DataFrame, bounds: np.ndarray) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             part = np.searchsorted(shared.value, _keys(np.stack([ints(b, c) for c in ("did", "rk", "no")])), "right")
-            new = {"start": pa.nulls(b.num_rows, pa.int64()), "own": pa.nulls(b.num_rows, pa.list_(pa.int32())), "part": pa.array(part, pa.int32())}
+            new = {"start": pa.nulls(b.num_rows, pa.int64()), "own": pa.nulls(b.num_rows, pa.list_(pa.binary())), "part": pa.array(part, pa.int32())}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(b.schema.get_field_index(n)) for n, _ in _ROW], schema=pa.schema(_ROW))
 
     return encoded.mapInArrow(run, _ROW_DDL)
@@ -251,11 +250,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
     total = light.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     part = max(part, -(-total.t // PARTS))
     parts = max(1, -(-total.t // part))
-    chunks = light.select("did", "rk", "no", F.explode(_digests()).alias("c")).select("c.digest", F.struct("did", "rk", "no", F.col("c.i").alias("i")).alias("at"))
-    # a chunk that only one document has needs no word to it; the others hear which of theirs they own
-    owners = chunks.groupBy("digest").agg(F.min("at").alias("at"))
-    owned = owners.select("at.*").groupBy("did", "rk", "no").agg(F.collect_list("i").alias("own"))
-    kept = told = cut(with_starts(light.select("did", "rk", "no", "n_tokens")).join(owned, ["did", "rk", "no"], "left").withColumn("part", F.floor(F.col("start") / part).cast("int")), "told")
+    chunks = light.select("no", F.explode(_digests()).alias("digest"))
+    # a chunk that only one row has needs no word to it; the others hear which of theirs they own
+    owned = chunks.groupBy("digest").agg(F.min("no").alias("no")).groupBy("no").agg(F.collect_list("digest").alias("own"))
+    kept = told = cut(with_starts(light.select("did", "rk", "no", "n_tokens")).join(owned, "no", "left").withColumn("part", F.floor(F.col("start") / part).cast("int")), "told")
     first = told.groupBy("part").agg(F.min(F.struct("did", "rk", "no")).alias("x")).orderBy("part").collect()  # at most PARTS rows
     bounds = np.array([[r.x.did, r.x.rk, r.x.no] for r in first[1:]], np.int64).reshape(-1, 3).T
     numbers = {r.part: k for k, r in enumerate(first)}  # a document longer than a part leaves numbers out
@@ -273,10 +271,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
                 start, own, at = told_of.pop(key)
                 ids, recipe, sizes = cols["ids"][i], cols["recipe"][i], cols["sizes"][i]
                 ends = 2 * np.cumsum(np.frombuffer(sizes, "<u4")).astype(np.int64)
+                names = [recipe[k : k + 16] for k in range(0, len(recipe), 16)]
                 mark = np.zeros(len(ends), np.uint8)
-                mark[own or []] = 1
+                if own:
+                    place = dict(zip(reversed(names), range(len(names) - 1, -1, -1), strict=True))  # of equal chunks the first
+                    mark[[place[x] for x in own]] = 1
                 payload = b"".join(ids[(ends[k - 1] if k else 0) : ends[k]] for k in np.flatnonzero(mark).tolist())
-                root = merkle([recipe[k : k + 16] for k in range(0, len(recipe), 16)])
+                root = merkle(names)
                 for name, v in zip(out, (cols["doc_id"][i], at, start, cols["n_tokens"][i], recipe, sizes, mark.tobytes(), payload, root), strict=True):
                     out[name].append(v)
             yield from arrow_rows(out, schema)

@@ -500,6 +500,42 @@ def test_quality(spark, tmp_path):
     assert all(r.kept for r in quality.classify(docs.limit(5), marks.limit(0)).collect())
 
 
+def test_views_are_apart_and_fits_are_plain():
+    """The metadata view never sees the text; weights and calibration are what plain gradient descent and Newton give."""
+    assert quality.meta_view("en", "s", 5).tolist() == quality.meta_view("en", "s", 5).tolist() != quality.meta_view("en", "t", 5).tolist()
+    assert quality.text_view(b"A b\nA b").max() < (1 << quality.BITS) + quality.LAYOUT
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(300)]
+    y = np.array([float((3 in r) or rng.random() < 0.2) for r in rows])
+    x = quality.Sparse.of(rows)
+    dense = np.zeros((300, 12))
+    for i, r in enumerate(rows):
+        dense[i, r] = 1
+    up, down = dense[y > 0].sum(0), dense[y == 0].sum(0)
+    pos, neg, share = y.sum(), 300 - y.sum(), y.mean()
+    scale = np.log((up + 1) / (pos + 2)) - np.log((down + 1) / (neg + 2))
+    odd = np.abs(up - (up + down) * share) / np.sqrt((up + down) * share * (1 - share) + 1e-9)
+    scale[(np.abs(scale) < quality.LEAST_ODDS) | (odd < quality.LEAST_SURPRISE)] = 0
+    used = np.flatnonzero(scale)
+    a, weight = dense[:, used] * scale[used], np.where(y > 0, 0.5 / pos, 0.5 / neg)
+    w, b, vw, vb = np.full(len(used), 0.1), 0.0, 0.0, 0.0
+    rate = 4 / max(1.0, (a**2).sum(1).mean())
+    for _ in range(150):
+        r = (1 / (1 + np.exp(-(a @ w + b))) - y) * weight
+        vw, vb = 0.9 * vw - rate * (a.T @ r + 1e-3 * w), 0.9 * vb - 0.5 * r.sum()
+        w, b = w + vw, b + vb
+    want = np.zeros(12)
+    want[used] = w * scale[used]
+    got, bias = quality.fit_view(x, y, 12)
+    assert len(used) and np.allclose(got, want) and np.isclose(bias, b) and np.allclose(x.dot(got), dense @ want)
+    assert np.allclose(x.part(4, 9).dot(got[4:9]), dense[:, 4:9] @ want[4:9])
+    z = np.column_stack((dense @ want, rng.normal(size=300)))
+    *mix, c = quality.calibrate(z, y)
+    s = (z - z.mean(0)) / (z.std(0) + 1e-6)
+    cost = lambda m, k: np.mean(np.log1p(np.exp(-(2 * y - 1) * (z @ m + k)))) + 5e-4 * ((np.array(m) * (z.std(0) + 1e-6)) ** 2).sum() + 5e-4 * (k + z.mean(0) @ np.array(m)) ** 2
+    assert s.shape == z.shape and all(cost(np.array(mix) + d, c) >= cost(np.array(mix), c) for d in 0.01 * np.array([[1, 0], [-1, 0], [0, 1], [0, -1]]))
+
+
 def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
     monkeypatch.setattr(quality, "GIVEN", 40)
     rng = random.Random(5)
@@ -509,7 +545,7 @@ def test_pseudo_labels_come_from_all_documents(spark, monkeypatch):
         words = [rng.choice(vocab) for _ in range(20)] + (["vile"] if i % 3 == 0 else ["kind"]) * rng.randint(0, 3)
         rows.append((None if i == 3999 else i, " ".join(words) if i % 50 else "kind copy", "en", "bad" if i % 3 == 0 else "good", 1))
     feats = quality._featured(spark.createDataFrame(rows, SCHEMA).repartition(7)).cache()
-    plain = [(r.did, r.key, r.rk, quality.text_view(rows[3999 if r.did is None else r.did][1].encode()), quality.meta_view(rows[3999 if r.did is None else r.did][1].encode(), "en", rows[3999 if r.did is None else r.did][3])) for r in feats.select("did", "key", "rk").collect()]
+    plain = [(r.did, r.key, r.rk, quality.text_view(rows[3999 if r.did is None else r.did][1].encode()), quality.meta_view("en", rows[3999 if r.did is None else r.did][3], 1)) for r in feats.select("did", "key", "rk").collect()]
     assert {(r.key, tuple(quality._unpacked(r.t)), tuple(quality._unpacked(r.m))) for r in feats.collect()} == {(k, tuple(t), tuple(m)) for _, k, _, t, m in plain}
     first = sorted((x for x in plain if x[0] is not None and x[0] < 600), key=lambda x: x[0])
     head = quality.Head([[x[3] for x in first], [x[4] for x in first]], np.array([float(x[0] % 3 > 0) for x in first]))
