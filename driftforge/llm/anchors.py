@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from driftforge.llm.common import arrow_rows, blobs, cut, ints, keyed, pow2, small_batches
+from driftforge.llm.common import arrow_rows, blobs, cut, drop, ints, keyed, pow2, small_batches
 
 #: Tokens that are hashed at once; longer documents are hashed in overlapping pieces.
 CHUNK = 1 << 19
@@ -422,17 +422,22 @@ def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int
         return said.groupBy("bid").applyInPandas(_by_document, "did long, rk long, shared binary, hot boolean").groupBy("did", "rk").agg(F.collect_list("shared").alias("shared"), F.max("hot").alias("hot"))
 
     lists = cut(told(text, _pack, plan.hot), "anchors")
+    done = [lists]
     none = F.lit(None).cast("array<binary>")
     hot = lists.where("hot")
     if hot.isEmpty():
         lists = lists.withColumn("windows", none)
     else:
         split = cut(told(text.join(hot, ["did", "rk"]), _pack_windows, float("inf")), "windows")
+        done.append(split)
         lists = lists.join(split.select("did", "rk", F.col("shared").alias("windows")), ["did", "rk"], "left")
     snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.binary())])
     found = text.join(lists, ["did", "rk"]).mapInArrow(lambda it: (y for x in it for y in _snippets(x, plan, bits, snippet_schema)), "h long, snippet binary, did long, rk long, lo long, hi long, done binary")
     settled = found.repartition("h").sortWithinPartitions("h", "snippet", "did").mapInArrow(lambda it: _settle(it, repeated, shard), "did long, rk long, span long")
-    return cut(settled, "spans").groupBy("did", "rk").agg(F.collect_list("span").alias("spans"))
+    spans = cut(settled, "spans")
+    for made in done:
+        drop(made)
+    return spans.groupBy("did", "rk").agg(F.collect_list("span").alias("spans"))
 
 
 def span_lists(batch: pa.RecordBatch) -> list[np.ndarray | None]:

@@ -1,11 +1,15 @@
-"""Connected components of a link table, by alternating large and small stars. Nothing goes to the driver but sums."""
+"""Connected components of a link table, by alternating large and small stars. Nothing goes to the driver but sums.
+
+A star's least node is found by partial sums. The links of a star's centre meet its least node in a join, whose one hot
+side Spark splits at run time (spark.sql.adaptive.skewJoin) once it is large.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftforge.llm.common import cut
+from driftforge.llm.common import cut, drop
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -37,5 +41,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if before == said or not said.n:
             return now.select("u", F.col("v").alias("root"))
         before = said
-        now = cut(_small(_large(now)).distinct(), "links")
+        last, now = now, cut(_small(_large(now)).distinct(), "links")
+        drop(last)
     raise RuntimeError(f"components: not settled after {rounds} rounds")

@@ -5,10 +5,12 @@ towards the rate of all hosts, as strongly as the spread between hosts says, and
 join carries no hint: the host table is broadcast only if its measured size allows, and a hot host can be split.
 
 Rules of a document, besides the base ones: more than one symbol for each four words; more than half its lines repeat
-earlier ones. A host is rejected if its shrunk rate of documents that fail any rule exceeds MAX_RATE.
+earlier ones. A host is rejected if its shrunk rate of documents that fail any rule exceeds MAX_RATE: a half, beyond
+which the host's next document rather fails than passes, so that what passes there passes by luck.
 
 Edge cases: null text has no words, so fails; null source is a host of its own; with one host, or none that differ, the
-prior has DEFAULT_STRENGTH; an empty table gives no rows; repeated rows count each.
+prior has DEFAULT_STRENGTH; a very long text is counted whole; an empty table gives no rows; repeated rows count each;
+other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from driftforge.llm.common import arrow_rows, blobs, cut, small_batches, table
 
-MAX_RATE = 0.6
+MAX_RATE = 0.5
 DEFAULT_STRENGTH = 100.0
 MOST_STRENGTH = 10_000.0
 _SYMBOLS = b"#*$%&|<>"
@@ -115,7 +117,7 @@ h AS (SELECT host, count(*) AS n, sum(CAST(failed AS INT)) AS k FROM g GROUP BY
 p AS (SELECT avg(k / n) AS m, coalesce(var_pop(k / n), 0) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 100.0 END AS s FROM p),
 r AS (SELECT host, (k + m * s) / (n + s) AS rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.6 AS kept, round(rate, 6) AS host_rate
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
 FROM g LEFT JOIN r ON g.host IS NOT DISTINCT FROM r.host
 """
 

@@ -5,8 +5,8 @@ that some template holds go through the automaton, any other word resets it. Mat
 chained along each template, in order and with at most MAX_GAP words between them; a template covered by MIN_COVER or
 more adds its label. A base phrase found whole is a template covered wholly.
 
-Edge cases: null text has no words, no labels, score 0; repeated rows are scanned each; null doc_id stays null; other
-columns are left alone; an empty table gives no rows.
+Edge cases: null text has no words, no labels, score 0; repeated rows are scanned each; null doc_id stays null; very long
+texts are scanned run by run; other columns are left alone, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ bounded by the window, whatever the number of documents. Pieces then find their
 length, which is counted in salted groups.
 
 Edge cases: null text is empty, and every document has at least its end id; null doc_id stays null; rows that repeat
-a doc_id are packed each; an empty table gives an empty result.
+a doc_id are packed each; a very long text makes many full windows; an empty table gives an empty result; other columns
+are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -139,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of all documents; an empty table gives none."""
     return pack(docs)
 
 

@@ -8,7 +8,8 @@ of the block's one-bit neighbours in the sorted variants. That needs 132 rows fo
 work in proportion to a group, never its square. All colliding pairs are deduplicated and verified.
 
 Edge cases: null or wordless text has fingerprint zero and links like any other; null doc_id stays null and never
-names a component unless all its members are null; rows that repeat a doc_id get their own fingerprints.
+names a component unless all its members are null; rows that repeat a doc_id get their own fingerprints; a very long
+text is summed piece by piece; an empty table gives no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -149,7 +150,10 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays; of its identical rows, one."""
+    """Pipeline stage: of each component the document with the least doc_id stays; of its identical rows, one.
+
+    A null doc_id is larger than any other; null texts are copies of each other; an empty table stays empty.
+    """
     found = near_copies(docs)
     first = found.where("component.did = did and component.rk = rk").groupBy("did", "rk").agg(F.count(F.lit(1)).alias("copies"))
     first = cut(first, "kept")

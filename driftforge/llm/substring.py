@@ -7,7 +7,8 @@ that can share a window with a reference snippet to the task that holds that sha
 
 Edge cases: null text has no words; documents of fewer than 13 words keep everything; passages that repeat only
 inside a document, or only in rows of the same doc_id, stay; null doc_id counts as the largest id and stays null;
-identical rows get identical results; an empty table gives an empty result; other columns are left alone.
+identical rows get identical results; very long texts are hashed in pieces that overlap by a window; an empty table
+gives an empty result; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

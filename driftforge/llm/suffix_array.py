@@ -226,7 +226,10 @@ def _apply(docs: DataFrame, texts: bool) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without the repeated bytes; a document of which nothing is left goes."""
+    """Pipeline stage: documents without the repeated bytes; a document of which nothing is left goes.
+
+    Null texts become empty and stay; an empty table stays empty.
+    """
     kept = _apply(docs, True).where("n_bytes = 0 or n_bytes > n_removed")
     cols = {"text": F.col("kept"), "n_chars": F.length("kept")}
     return kept.select(*[cols.get(c, F.col("`__rest`.`" + c.replace("`", "``") + "`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

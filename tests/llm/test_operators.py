@@ -384,6 +384,40 @@ def test_sharding(docs, rows):
     assert sharding.smallest_capacity(sizes, 3) == best == max(map(sum, np.split(sizes, sharding.cuts(sizes, 3))))
 
 
+@pytest.mark.parametrize("bits", [1, 3, 20])
+def test_sharding_is_minimax(spark, rows, docs, monkeypatch, bits):
+    """The largest shard is the least that any contiguous cut of whole texts in order of their hash gives."""
+    monkeypatch.setattr(sharding, "RANGE_BITS", bits)
+    monkeypatch.setattr(sharding, "SPLIT", 4)
+    hashed = docs.selectExpr("xxhash64(coalesce(text, '')) as key", "octet_length(coalesce(text, '')) + 1 as size").groupBy("key").agg(F.sum("size").alias("size")).collect()
+    sizes = [r["size"] for r in sorted(hashed, key=lambda r: r.key)]
+    for shards in (2, 5, 16):
+        best = [0, *([10**9] * len(sizes))]  # least largest run, of the first n groups
+        for _ in range(shards):
+            best = [min(max(best[i], sum(sizes[i:n])) for i in range(n + 1)) for n in range(len(sizes) + 1)]
+        got = sharding.shard(docs, shards).collect()
+        assert max(sum(r["size"] for r in got if r.shard == k) for k in range(shards)) == best[-1]
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode()), "bytes", None) for r in rows)
+
+
+def test_host_verdicts(spark):
+    """Against a plain version, with hosts that are rejected, one by very few documents, and a null host."""
+    rng = random.Random(3)
+    good, bad = "word%d " * 60, "few words"
+    made = [(h, good % tuple(rng.randrange(99) for _ in range(60)) if rng.random() > p else bad) for h, n, p in [("a", 90, 0.9), ("b", 200, 0.1), ("c", 1, 1.0), (None, 40, 0.8), ("d", 60, 0.3), ("e", 60, 0.45)] for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, h, "x") for i, (h, t) in enumerate(made)], "doc_id long, text string, source string, host string")
+    failed, n = Counter(h for h, t in made if t == bad), Counter(h for h, _ in made)
+    rates = [failed[h] / n[h] for h in n]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / len(rates)
+    strength = max(1, m * (1 - m) / v - 1)
+    shrunk = {h: (failed[h] + m * strength) / (n[h] + strength) for h in n}
+    got = {r.doc_id: r for r in hosts.host_rules(docs).collect()}
+    for i, (h, t) in enumerate(made):
+        assert got[i].host_rate == round(shrunk[h], 6) and got[i].kept == (t != bad and shrunk[h] <= 0.5) and got[i].base_failed == (t == bad)
+    assert any(not g.kept and not g.base_failed for g in got.values()) and any(g.kept for g in got.values())
+
+
 def test_base_counts(rows):
     for r in rows:
         t = r[1] or ""
@@ -411,6 +445,37 @@ def test_licences(docs, rows):
     assert any("cc-by-nc" in g.labels for g in got.values())
 
 
+def test_licence_labels_and_score(spark):
+    """Labels and score against a plain chain over the longest runs of words that end at each place and go no further."""
+    rng = random.Random(7)
+    texts = [None, "", "x" * 9]
+    for name, t in licences.TEMPLATES.items():
+        w = t.split()
+        for cut_ in range(6):
+            part = [x for x in w if rng.random() > cut_ / 12]
+            texts.append(" ".join(["Some"] * rng.randint(0, 3) + part[: rng.randint(3, len(part))] + ["other", "words"]))
+            at = rng.randrange(len(w))
+            texts.append(" ".join(w[:at] + [f"n{k}" for k in range(rng.randint(0, 10))] + w[at:]))
+    texts += ["MIT License", "cc by, cc-by and CC BY 4.0", " ".join(licences.TEMPLATES.values())]
+    got = licences.licence_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    known = set()
+    for r in sorted(got, key=lambda r: r.doc_id):
+        w = licences.licence_words((texts[r.doc_id] or "").encode())
+        base = {label for p, label in licences.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.encode().split()}
+        labels, score = set(base), float(bool(base))
+        known = known or {run for x in [*licences.TEMPLATES.values(), *licences.PHRASES] for p in [x.encode().split()] for i in range(len(p)) for j in range(i + 1, len(p) + 1) for run in [tuple(p[i:j])]}
+        longest = [next((n for n in range(min(e, 60), 0, -1) if tuple(w[e - n : e]) in known), 0) for e in range(len(w) + 1)] + [0]
+        stop = [(e, n) for e, n in enumerate(longest[:-1]) if n >= licences.MIN_MATCH and longest[e + 1] != n + 1]
+        for label, t in licences.TEMPLATES.items():
+            p = t.encode().split()
+            runs = [(e - n, y, n) for e, n in stop for y in range(len(p) - n + 1) if p[y : y + n] == w[e - n : e]]
+            cover = licences._chain(runs) / len(p) if runs else 0.0
+            score = max(score, cover)
+            if cover >= licences.MIN_COVER:
+                labels.add(label)
+        assert (r.labels, round(r.score, 9)) == (",".join(sorted(labels)), round(score, 9)), texts[r.doc_id]
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
