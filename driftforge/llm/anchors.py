@@ -17,6 +17,7 @@ rows then, or one row for each batch.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -302,18 +303,31 @@ def _snippets(batch: pa.RecordBatch, plan: Plan, bits: int, schema: pa.Schema) -
     settled: dict[int, list] = {}
     for (x, snippet), where in found.items():
         least = min(did[d] for d, _, _ in where)
+        own: dict[int, list[int]] = {}  # a text that repeats itself holds a snippet many times, in one row
         for d, f, t in where:
             if did[d] > least:
                 settled.setdefault(d, []).append((f, t))
             else:
-                rows.append((x, snippet, did[d], rk[d], f, t, None))
+                own.setdefault(d, []).append(f << 32 | t)
+        rows += [(x, snippet, did[d], rk[d], array("q", at).tobytes(), False) for d, at in own.items()]
     for d, ranges in settled.items():
         a = np.array(ranges, np.int64)
-        rows.append((rk[d], b"", did[d], rk[d], 0, 0, _spans(a[:, 0], a[:, 1]).tobytes()))
+        # a key of its own: copies have equal rk
+        rows.append((xxh64_intdigest(did[d].to_bytes(8, "little", signed=True), rk[d] & 0xFFFFFFFF) - (1 << 63), b"", did[d], rk[d], _spans(a[:, 0], a[:, 1]).tobytes(), True))
     for at in range(0, len(rows), 20_000):
         yield from arrow_rows(dict(zip(schema.names, zip(*rows[at : at + 20_000], strict=True), strict=True)), schema)
 
 
+def _flat(rows: pa.Table) -> pa.RecordBatch:
+    """did, rk, span of all the ranges that rows hold packed in `at`."""
+    at = rows.column("at").combine_chunks()
+    at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
+    ends = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1]
+    n = np.diff(ends) // 8
+    spans = np.frombuffer(at.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.int64)
+    return _said(np.repeat(rows.column("did").to_numpy(), n), np.repeat(rows.column("rk").to_numpy(), n), spans)
+
+
 class _Shards:
     """Whole anchors of one task go in, (did, rk, span) come out."""
 
@@ -321,20 +335,17 @@ class _Shards:
         self.repeated, self.shard = repeated, shard
         self.snippets: list[bytes] = []
         self.documents: list[int] = []
-        self.rows: list[tuple[int, int, int]] = []  # snippet's number, rk, lo
+        self.rows: list[tuple[int, int, bytes]] = []  # snippet's number, rk, its places
         self.size = 0
 
     def take(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        done = rows.column("done").is_valid().to_numpy()
+        done = rows.column("done").to_numpy()
         if done.any():
-            own = rows.filter(pa.array(done))
-            spans = [np.frombuffer(x, np.int64) for x in own.column("done").to_pylist()]
-            n = [len(x) for x in spans]
-            yield _said(np.repeat(own.column("did").to_numpy(), n), np.repeat(own.column("rk").to_numpy(), n), np.concatenate(spans))
+            yield _flat(rows.filter(pa.array(done)))
             rows = rows.filter(pa.array(~done))
         if not rows.num_rows:
             return
-        h, did, rk, lo, hi = (rows.column(c).to_numpy() for c in ("h", "did", "rk", "lo", "hi"))
+        h, did, rk = (rows.column(c).to_numpy() for c in ("h", "did", "rk"))
         text = rows.column("snippet").combine_chunks()
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new = new_h.copy()
@@ -343,13 +354,13 @@ class _Shards:
         run = np.cumsum(new) - 1
         later = did > did[first][run]
         if later.any():  # the whole snippet is in a smaller document
-            yield _said(did[later], rk[later], lo[later] << 32 | hi[later])
+            yield _flat(rows.filter(pa.array(later)))
         # only where an anchor has two different snippets can they share a window
         anchor = np.cumsum(new_h)[first]
         many = np.bincount(anchor)[anchor] > 1
         number = np.cumsum(many) - 1 + len(self.snippets)
         keep = ~later & many[run]
-        self.rows += zip(number[run[keep]].tolist(), rk[keep].tolist(), lo[keep].tolist(), strict=True)
+        self.rows += zip(number[run[keep]].tolist(), rk[keep].tolist(), rows.column("at").filter(pa.array(keep)).to_pylist(), strict=True)
         more = text.take(pa.array(first[many])).to_pylist()
         self.snippets += more
         self.documents += did[first[many]].tolist()
@@ -360,9 +371,10 @@ class _Shards:
     def settle(self) -> Iterator[pa.RecordBatch]:
         found = self.repeated(self.snippets, self.documents)
         out: list[tuple] = []
-        for i, rk, lo in self.rows:
+        for i, rk, at in self.rows:
             if len(found[i]):
-                out += [(self.documents[i], rk, x) for x in _spans(found[i] + lo, found[i] + lo).tolist()]
+                lo = (np.frombuffer(at, np.int64)[:, None] >> 32) + found[i]
+                out += [(self.documents[i], rk, x) for x in _spans(lo.ravel(), lo.ravel()).tolist()]
         self.snippets, self.documents, self.rows, self.size = [], [], [], 0
         if out:
             yield _said(*(np.array(x, np.int64) for x in zip(*out, strict=True)))
@@ -374,12 +386,12 @@ def _said(did: np.ndarray, rk: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
 
 def _compact(rows: pa.Table) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
     """Of one anchor: what is already known to be removed, and the rows that are still needed."""
-    did, rk, lo, hi = (rows.column(c).to_numpy() for c in ("did", "rk", "lo", "hi"))
+    did = rows.column("did").to_numpy()
     text = rows.column("snippet").combine_chunks()
     new = np.ones(len(did), bool)
     new[1:] = pc.not_equal(text.slice(1), text.slice(0, len(text) - 1)).to_numpy(zero_copy_only=False)
-    later = (did > did[np.flatnonzero(new)][np.cumsum(new) - 1]) & ~rows.column("done").is_valid().to_numpy()
-    said = [_said(did[later], rk[later], lo[later] << 32 | hi[later])] if later.any() else []
+    later = (did > did[np.flatnonzero(new)][np.cumsum(new) - 1]) & ~rows.column("done").to_numpy()
+    said = [_flat(rows.filter(pa.array(later)))] if later.any() else []
     return said, rows.filter(pa.array(~later)).combine_chunks().to_batches()
 
 
@@ -431,8 +443,8 @@ def repeated_windows(docs: DataFrame, plan: Plan, repeated: Callable, shard: int
         split = cut(told(text.join(hot, ["did", "rk"]), _pack_windows, float("inf")), "windows")
         done.append(split)
         lists = lists.join(split.select("did", "rk", F.col("shared").alias("windows")), ["did", "rk"], "left")
-    snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.binary())])
-    found = text.join(lists, ["did", "rk"]).mapInArrow(lambda it: (y for x in it for y in _snippets(x, plan, bits, snippet_schema)), "h long, snippet binary, did long, rk long, lo long, hi long, done binary")
+    snippet_schema = pa.schema([("h", pa.int64()), ("snippet", pa.binary()), ("did", pa.int64()), ("rk", pa.int64()), ("at", pa.binary()), ("done", pa.bool_())])
+    found = text.join(lists, ["did", "rk"]).mapInArrow(lambda it: (y for x in it for y in _snippets(x, plan, bits, snippet_schema)), "h long, snippet binary, did long, rk long, at binary, done boolean")
     settled = found.repartition("h").sortWithinPartitions("h", "snippet", "did").mapInArrow(lambda it: _settle(it, repeated, shard), "did long, rk long, span long")
     spans = cut(settled, "spans")
     for made in done:

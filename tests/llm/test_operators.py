@@ -119,9 +119,10 @@ def test_pieces_of_long_texts(monkeypatch):
 
 
 def test_compact():
-    table = pa.table({"did": [1, 1, 4, 2, 3], "rk": [7, 8, 9, 7, 7], "lo": [0] * 5, "hi": [3] * 5, "snippet": [b"a", b"a", b"a", b"b", b"b"], "done": pa.array([None] * 5, pa.binary())})
+    at = lambda *x: np.array(x, np.int64).tobytes()
+    table = pa.table({"did": [1, 1, 4, 2, 3], "rk": [7, 8, 9, 7, 7], "at": [at(3), at(3), at(3, 5), at(3), at(3)], "snippet": [b"a", b"a", b"a", b"b", b"b"], "done": [False] * 5})
     said, rest = anchors._compact(table)
-    assert said[0].to_pydict() == {"did": [4, 3], "rk": [9, 7], "span": [3, 3]}
+    assert said[0].to_pydict() == {"did": [4, 4, 3], "rk": [9, 9, 7], "span": [3, 5, 3]}
     assert pa.Table.from_batches(rest).column("did").to_pylist() == [1, 1, 2]
 
 
