@@ -28,17 +28,7 @@ def _js(s, d):
 
 T.frame("js_distance", _js, "WITH a AS (SELECT o_orderpriority AS v, count(*) / sum(count(*)) OVER () AS p FROM orders WHERE o_orderdate < timestamp '1998-01-01' GROUP BY 1), b AS (SELECT o_orderpriority AS v, count(*) / sum(count(*)) OVER () AS p FROM orders WHERE o_totalprice > 200000 GROUP BY 1), j AS (SELECT coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q FROM a FULL JOIN b ON a.v = b.v) SELECT round(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 0)), 8) AS js FROM j")
 _AB = "a AS (SELECT p_brand AS v, count(*) / (SELECT count(*) FROM part WHERE p_size <= 25) AS p FROM part WHERE p_size <= 25 GROUP BY 1), b AS (SELECT p_brand AS v, count(*) / (SELECT count(*) FROM part WHERE p_size > 25) AS p FROM part WHERE p_size > 25 GROUP BY 1)"
-T.both("kl_div", f"WITH {_AB} SELECT round(sum(a.p * ln(a.p / b.p)), 8) AS kl FROM a JOIN b ON a.v = b.v")
 T.both("mean_js", f"WITH {_AB}, j AS (SELECT 1 AS k, coalesce(a.p, 0e0) AS p, coalesce(b.p, 0e0) AS q FROM a FULL JOIN b ON a.v = b.v), one AS (SELECT sqrt(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2) AS js FROM j) SELECT round(avg(js), 8) AS js FROM (SELECT js FROM one UNION ALL SELECT 0e0) x")
-T.both("ks_stat", "WITH v AS (SELECT o_totalprice AS x, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS a FROM orders), g AS (SELECT x, sum(a) AS n1, sum(1 - a) AS n2 FROM v GROUP BY x), c AS (SELECT x, CAST(sum(n1) OVER (ORDER BY x) AS DOUBLE) / (SELECT sum(a) FROM v) AS f1, CAST(sum(n2) OVER (ORDER BY x) AS DOUBLE) / (SELECT sum(1 - a) FROM v) AS f2 FROM g) SELECT round(max(abs(f1 - f2)), 9) AS ks FROM c")
-T.both("pearson_matrix", "SELECT round(corr(l_quantity, l_extendedprice), 6) AS q_p, round(corr(l_quantity, l_discount), 6) AS q_d, round(corr(l_extendedprice, l_discount), 6) AS p_d, round(corr(l_discount, l_tax), 6) AS d_t FROM lineitem")
-T.both("spearman_matrix", "WITH a AS (SELECT x, sum(n) OVER (ORDER BY x) - (n - 1) / 2e0 AS r FROM (SELECT p_size AS x, count(*) AS n FROM part GROUP BY 1) t), b AS (SELECT y, sum(n) OVER (ORDER BY y) - (n - 1) / 2e0 AS r FROM (SELECT p_retailprice AS y, count(*) AS n FROM part GROUP BY 1) t) SELECT round(corr(a.r, b.r), 6) AS rho FROM part JOIN a ON p_size = x JOIN b ON p_retailprice = y")
-T.both("corr_loss", "WITH a AS (SELECT corr(l_quantity, l_extendedprice) AS c1, corr(l_discount, l_tax) AS c2 FROM lineitem WHERE l_linenumber <= 3), b AS (SELECT corr(l_quantity, l_extendedprice) AS c1, corr(l_discount, l_tax) AS c2 FROM lineitem WHERE l_linenumber > 3) SELECT round((abs(a.c1 - b.c1) + abs(a.c2 - b.c2)) / 2, 6) AS mean_loss, round(abs(a.c1 - b.c1) + abs(a.c2 - b.c2), 6) AS sum_loss FROM a CROSS JOIN b")
-_Q = "SELECT percentile({c}, 0.25) AS q1, percentile({c}, 0.75) AS q3 FROM {t}"
-_QD = "SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t}"
-_IQR = "WITH q AS ({q}) SELECT event_type, count(*) AS kept, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events CROSS JOIN q WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1) GROUP BY event_type"
-T.both("iqr_filter", _IQR.format(q=_Q.format(c="value", t="events")), _IQR.format(q=_QD.format(c="value", t="events")))
-T.both("ci_filter", "WITH m AS (SELECT avg(o_totalprice) AS mu, stddev_pop(o_totalprice) AS sd FROM orders) SELECT count(*) AS kept, round(min(o_totalprice), 2) AS low, round(max(o_totalprice), 2) AS high FROM orders CROSS JOIN m WHERE o_totalprice BETWEEN mu - 1.5 * sd AND mu + 1.5 * sd")
 T.both("null_rate", "SELECT avg(CASE WHEN text IS NULL THEN 1e0 ELSE 0e0 END) AS text_null, avg(CASE WHEN lang IS NULL THEN 1e0 ELSE 0e0 END) AS lang_null FROM documents")
 T.both("qerror", "WITH t AS (SELECT o_orderpriority AS k, count(*) AS actual FROM orders GROUP BY 1), e AS (SELECT o_orderpriority AS k, count(*) * 4 AS est FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) SELECT t.k, round(greatest(greatest(actual, 1) / greatest(coalesce(est, 0), 1), greatest(coalesce(est, 0), 1) / greatest(actual, 1)), 8) AS q FROM t LEFT JOIN e ON t.k = e.k")
 T.both("card_fraction_qerror", "WITH c AS (SELECT count(*) AS n, sum(CASE WHEN l_quantity < 10 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN l_quantity < 10 AND l_discount > 0.05 THEN 1 ELSE 0 END) AS ab FROM lineitem) SELECT round(greatest(greatest(ab, 1) / greatest(a / n * b, 1e0), greatest(a / n * b, 1e0) / greatest(ab, 1)), 8) AS q FROM c")
