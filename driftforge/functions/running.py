@@ -17,7 +17,7 @@ def _bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
     as_number = F.unix_micros(F.col(by).cast("timestamp")) if dict(df.dtypes)[by].startswith("timestamp") else F.col(by).cast("double")
     rows = df.withColumn("__x", as_number.cast("double"))
     bounds = sorted(set(rows.approxQuantile("__x", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    return rows.withColumn("__bucket", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < F.col("__x"))) if bounds else F.lit(0))
+    return rows.withColumn("__bucket", sum((F.when(F.col("__x") > float(b), 1).otherwise(0) for b in bounds), F.lit(0)))
 
 
 def running(df: DataFrame, by: str, sums: dict[str, str] | None = None, mins: dict[str, str] | None = None, buckets: int = BUCKETS) -> DataFrame:

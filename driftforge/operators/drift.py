@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -55,16 +56,60 @@ def uniform(key, salt: str):
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string")) if isinstance(key, str) else key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+#: Categories of a column that may be drifted as such; more are an error.
+MOST_BINS = 10_000
+
+
+def few_categories(df: DataFrame, col: str) -> list:
+    """Rows (value, cnt, p, ord) of a column's categories in order of falling frequency."""
+    rows = categorical(df, col).orderBy("ord").limit(MOST_BINS + 1).collect()
+    if len(rows) > MOST_BINS:
+        raise ValueError(f"{col} has more than {MOST_BINS} categories: bin it first")
+    return rows
+
+
+def place_of(u, q: Sequence[float]):
+    """The number of the bin, by the cumulative shares q, that a uniform number falls into: no join."""
+    edges = np.cumsum(q)[:-1].tolist()
+    if len(edges) <= 100:
+        return sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= u))
+
+
 def resample_categorical(df: DataFrame, col: str, key: str, d: float, skewed: bool = True, salt: str = "42") -> DataFrame:
-    """key, new value: every row draws from the target; the bins (one row a category) go to every task."""
-    rows = categorical(df, col).orderBy("ord").collect()  # categories, at most a few hundred by the drift contract
-    if len(rows) > 10_000:
-        raise ValueError(f"{col} has {len(rows)} categories: bin it first")
+    """key, new value: every row draws from the target."""
+    rows = few_categories(df, col)
+    if not rows:
+        return df.select(key, col)
     q, _ = solve([r.p for r in rows], d, skewed)
-    edges = [0.0, *np.cumsum(q).tolist()[:-1], 1.0000001]
-    bins = df.sparkSession.createDataFrame([(r.value, a, b) for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True)], f"value {df.schema[col].dataType.simpleString()}, lo double, hi double")
-    drawn = df.select(key, uniform(key, salt).alias("u"))
-    return drawn.join(F.broadcast(bins), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select(key, F.col("value").alias(col))
+    values = F.array(*[F.lit(r.value) for r in rows])
+    return df.select(key, F.element_at(values, place_of(uniform(key, salt), q) + 1).alias(col))
+
+
+def drawn_in_bins(u, q: Sequence[float], starts: Sequence, ends: Sequence, whole: bool, v):
+    """A value of the bin that u falls into, by a second uniform number v: whole numbers of (start, end], else start to end."""
+    at = place_of(u, q) + 1
+    a, b = F.element_at(F.array(*map(F.lit, starts)), at), F.element_at(F.array(*map(F.lit, ends)), at)
+    return F.least(a + 1 + F.floor(v * (b - a)), b) if whole else a + v * (b - a)
+
+
+def ladder(df: DataFrame, col: str, distances: Sequence[float], fractions: Sequence[float], skewed: bool = True) -> DataFrame:
+    """d, f, value, avail, taken, feasible: for each distance and fraction, how many rows of each bin a sample without
+    replacement takes: the solved share of the fraction, as far as there are rows."""
+    rows = few_categories(df, col)
+    n = sum(r.cnt for r in rows)
+    out = []
+    for d in distances:
+        q, ok = solve([r.p for r in rows], d, skewed)
+        out += [(float(d), float(f), r.value, r.cnt, min(int(x * f * n), r.cnt), bool(ok)) for f in fractions for r, x in zip(rows, q.tolist(), strict=True)]
+    return df.sparkSession.createDataFrame(out, f"d double, f double, value {df.schema[col].dataType.simpleString()}, avail long, taken long, feasible boolean")
+
+
+def delete_ids(df: DataFrame, key: str, ids: DataFrame, chunks: int = 1) -> DataFrame:
+    """df without the rows whose key is listed; in chunks by hash of the key, each an anti join of its own."""
+    ids = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+    mine = lambda c: F.pmod(F.xxhash64(key), F.lit(chunks)) == c
+    return reduce(DataFrame.union, [df.where(mine(c) | (F.col(key).isNull() if c == 0 else F.lit(False))).join(ids.where(mine(c)), key, "left_anti").select(*df.columns) for c in range(chunks)])
 
 
 def quota_sample(df: DataFrame, bin_col: str, key: str, quota: dict, salt: str = "42") -> DataFrame:
@@ -109,8 +154,6 @@ T.both("drift_slice_orderpriority", _path(_ZIPF, 0.3, _ST) + _tail, _path(_ZIPF,
 T.both("zipf_pmf", "SELECT k, round((1e0 / k) / (SELECT sum(1e0 / k) FROM (SELECT explode(sequence(1, 20)) AS k) a), 12) AS zipf, 1e0 / 20 AS uniform FROM (SELECT explode(sequence(1, 20)) AS k) b", "SELECT CAST(k AS INT) AS k, round((1e0 / k) / (SELECT sum(1e0 / k) FROM (SELECT unnest(range(1, 21)) AS k) a), 12) AS zipf, 1e0 / 20 AS uniform FROM (SELECT unnest(range(1, 21)) AS k) b")
 _NUM = "WITH b AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part), r AS (SELECT p_partkey, CAST(floor(U['7:' || p_partkey] * 5) AS INT) AS bin, U['8:' || p_partkey] AS v FROM part) SELECT bin, count(*) AS cnt, min(CAST(floor(lo + (bin + v) * (hi - lo + 1) / 5) AS INT)) AS low, max(CAST(floor(lo + (bin + v) * (hi - lo + 1) / 5) AS INT)) AS high FROM r CROSS JOIN b GROUP BY bin"
 T.both("sample_numeric", _NUM)
-T.both("drift_ladder", "SELECT d, f, sum(CASE WHEN U['l' || d || ':' || c_custkey] < f * (1 - d) THEN 1 ELSE 0 END) AS kept FROM customer CROSS JOIN (SELECT 0.1e0 AS d UNION ALL SELECT 0.3e0 UNION ALL SELECT 0.5e0 UNION ALL SELECT 0.7e0) x CROSS JOIN (SELECT 0.5e0 AS f UNION ALL SELECT 0.6e0 UNION ALL SELECT 0.8e0 UNION ALL SELECT 1e0) y GROUP BY d, f", "SELECT d, f, CAST(sum(CASE WHEN U['l' || d || ':' || c_custkey] < f * (1 - d) THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM customer CROSS JOIN (SELECT 0.1e0 AS d UNION ALL SELECT 0.3e0 UNION ALL SELECT 0.5e0 UNION ALL SELECT 0.7e0) x CROSS JOIN (SELECT 0.5e0 AS f UNION ALL SELECT 0.6e0 UNION ALL SELECT 0.8e0 UNION ALL SELECT 1e0) y GROUP BY d, f")
-T.both("drift_chain", "WITH s1 AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE U['a:' || o_orderkey] < CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0.5 END), s2 AS (SELECT * FROM s1 WHERE U['b:' || o_orderkey] < CASE WHEN o_orderpriority LIKE '1%' THEN 0.5 ELSE 1 END) SELECT o_orderpriority, count(*) AS cnt FROM s2 GROUP BY 1")
 _KEYS = "WITH k AS (SELECT DISTINCT event_id AS key FROM events), r AS (SELECT key, CAST(floor(key / 1024e0) AS BIGINT) AS bin, row_number() OVER (PARTITION BY floor(key / 1024e0) ORDER BY md5('42:' || key), key) AS n FROM k), g AS (SELECT bin, count(*) AS avail FROM r GROUP BY bin), want AS (SELECT bin, avail, CAST(floor(avail * (0.2e0 + 0.15e0 * (bin % 7))) AS BIGINT) AS quota FROM g), bulk AS (SELECT key, r.bin FROM r JOIN want ON r.bin = want.bin WHERE n <= quota)"
 T.both("keyset_bulk", _KEYS + " SELECT bin, count(*) AS cnt, min(key) AS first_key, max(key) AS last_key FROM bulk GROUP BY bin")
 T.both("keyset_insert", _KEYS + " SELECT count(*) AS inserts, min(k.key) AS first_key, max(k.key) AS last_key FROM k LEFT JOIN bulk ON k.key = bulk.key WHERE bulk.key IS NULL")
@@ -120,4 +163,17 @@ T.both("card_compare", "WITH full_c AS (SELECT 'orders' AS t, count(*) AS n FROM
 T.both("pk_weights", "SELECT c_custkey, coalesce(w, 0e0) AS weight FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS w FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON c_custkey = o_custkey")
 T.both("resample_chunks", "WITH i AS (SELECT explode(sequence(0, 499)) AS i), n AS (SELECT count(*) AS n FROM nation), d AS (SELECT i, CAST(floor(i / 25e0) AS BIGINT) AS chunk, CAST(floor(U['w:' || i] * n) AS INT) AS pick FROM i CROSS JOIN n) SELECT chunk, count(*) AS cnt, count(DISTINCT pick) AS picks FROM d GROUP BY chunk", "WITH i AS (SELECT unnest(range(0, 500)) AS i), n AS (SELECT count(*) AS n FROM nation), d AS (SELECT i, CAST(floor(i / 25e0) AS BIGINT) AS chunk, CAST(floor(U['w:' || i] * n) AS INT) AS pick FROM i CROSS JOIN n) SELECT chunk, count(*) AS cnt, count(DISTINCT pick) AS picks FROM d GROUP BY chunk")
 T.both("keep_last_run", "SELECT user_id, max_by(value, event_id) AS last_value, count(*) AS runs FROM events GROUP BY user_id")
+T.frame("drift_ladder", lambda s, d: ladder(s.read.parquet(f"{d}/customer.parquet"), "c_mktsegment", [0.1, 0.3, 0.5, 0.7], [0.5, 0.6, 0.8, 1.0]))
+
+
+def _chained(s, d):
+    """Twice drifted, first skewed, then flattened: the share of each value after either step."""
+    o = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderpriority")
+    first = chain(o, lambda df, i: resample_categorical(df, "o_orderpriority", "o_orderkey", 0.3, True, "c0"), 1)
+    both = chain(o, lambda df, i: resample_categorical(df, "o_orderpriority", "o_orderkey", (0.3, 0.1)[i], i == 0, f"c{i}"), 2)
+    return reduce(DataFrame.union, [categorical(df, "o_orderpriority").select(F.lit(i).alias("step"), "value", "cnt", "p") for i, df in enumerate((o, first, both))])
+
+
+T.frame("drift_chain", _chained)
+T.frame("delete_chunks", lambda s, d: delete_ids(s.read.parquet(f"{d}/orders.parquet"), "o_orderkey", s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey"), 4).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), "SELECT o_orderstatus, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY 1")
 QUERIES, ORACLES = T.queries, T.oracles

@@ -16,6 +16,10 @@ from driftforge.functions.running import running, shares
 from driftforge.functions.twin import Twins
 
 
+#: Different values of a column whose curve is sent to every task.
+MOST_POINTS = 10_000
+
+
 @dataclass(frozen=True)
 class Scaler:
     """x -> (f(x) - shift) / scale, back by the inverse; f: the number itself or ln(x + 1)."""
@@ -66,10 +70,10 @@ def normal_scores(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def from_scores(df: DataFrame, score: str, fitted: DataFrame, col: str) -> DataFrame:
     """df with the value of the fitted column whose share is the greatest at or below each score q, the least where none is."""
-    curve = shares(fitted, col).select("value", (F.col("share") - F.col("n") / F.sum("n").over(Window.partitionBy())).alias("q"))
-    points = [(r.value, r.q) for r in curve.orderBy("q").limit(100_000).collect()]
-    if not points:
-        raise ValueError(f"{col} holds no value")
+    curve = shares(fitted, col).select("value", ((F.col("share") - F.col("n") / F.sum("n").over(Window.partitionBy())) * F.sum("n").over(Window.partitionBy()) / F.greatest(F.sum("n").over(Window.partitionBy()) - 1, F.lit(1))).alias("q"))
+    points = [(r.value, r.q) for r in curve.orderBy("q").limit(MOST_POINTS + 1).collect()]
+    if not 0 < len(points) <= MOST_POINTS:
+        raise ValueError(f"{col} has no value or more than {MOST_POINTS} different ones: bin it first")
     values, at = F.array(*[F.lit(v) for v, _ in points]), F.array(*[F.lit(float(q)) for _, q in points])
     return df.withColumn(col, F.element_at(values, F.greatest(F.size(F.filter(at, lambda q: q <= F.col(score) + 1e-12)), F.lit(1))))
 
@@ -95,7 +99,7 @@ def width(categories: int) -> int:
 
 def to_bits(code: str, bits: int) -> Column:
     """The code's bits, most significant first."""
-    return F.transform(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), lambda i: F.expr("0") + F.getbit(F.col(code).cast("long"), i).cast("int"))
+    return F.transform(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), lambda i: F.getbit(F.col(code).cast("long"), i).cast("int"))
 
 
 def from_bits(bits: str) -> Column:

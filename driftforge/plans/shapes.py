@@ -71,4 +71,5 @@ def drifted_sample(spark: SparkSession, features: DataFrame) -> DataFrame:
 
 
 T.frame("wl_drift_sample", lambda s, d: drifted_sample(s, suite_features(s, d).where("kind = 'table'")), _SAMPLE.format(workload=f"SELECT * FROM (VALUES {_PAIRS}) v(id, feature)", draws="SELECT unnest(range(0, 500)) AS i"))
+T.oracles["wl_tables"] = f"SELECT feature, count(*) AS n FROM (VALUES {_PAIRS}) v(id, feature) GROUP BY feature"
 QUERIES, ORACLES = T.queries, T.oracles

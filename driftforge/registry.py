@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.drift", "operators.distributions", "operators.divergence", "operators.matrices", "operators.encoders", "operators.evaluation", "plans.suites", "plans.experience", "plans.workload", "plans.joinorder", "plans.shapes"]
+MODULES = ["operators.drift", "operators.distributions", "operators.divergence", "operators.matrices", "operators.pipeline", "operators.encoders", "operators.evaluation", "plans.suites", "plans.experience", "plans.workload", "plans.joinorder", "plans.shapes", "plans.explain", "plans.features", "plans.arms"]
 
 
 def _gather(name: str) -> dict:
