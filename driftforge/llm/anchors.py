@@ -35,7 +35,7 @@ from driftforge.llm.common import arrow_rows, blobs, cut, drop, ints, keyed, pow
 CHUNK = 1 << 19
 PIECE = 1 << 22
 #: Different snippets from which an anchor is hot.
-HOT = 4096
+HOT = 1 << 16
 #: Marks a hot anchor; anchors have 32 bits and those of the bucket.
 _MARK = np.uint64(1 << 63)
 #: Rows of one anchor at which a shard lets go of those that are settled.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 import numpy as np
@@ -10,8 +9,6 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 #: ASCII signs but the apostrophe, which may begin a pre-token of its own.
 _SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A comma or stop alone between a letter and white space.
-_STOP = re.compile(rb"[,.](?<=[a-z][,.])(?=[\x20\x09-\x0D])")
 #: Letters up to here have one lower-case letter each (U+0130 aside) and no decomposed forms to join.
 _LATIN = "\u024f"
 
@@ -74,8 +71,8 @@ class Encoder(dict):
         return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(letters)])
 
     def ids(self, text: bytes) -> bytes:
-        if b"<|" not in text:  # fewer different words: lower-cased, and without the comma or stop that ends one
-            text = _STOP.sub(rb" \g<0>", text.lower())
+        if b"<|" not in text:  # fewer different words
+            text = text.lower()
         return b"".join(map(self.__getitem__, text.split()))
 
 
