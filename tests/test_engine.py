@@ -104,9 +104,9 @@ def test_keys(spark, tmp_path):
     df = spark.createDataFrame([(str(k),) for k in keys], "key string").selectExpr("cast(key as decimal(20,0)) key")
     assert files.write_keys(df, f"{tmp_path}/k_uint64") == 3
     assert [int(r.key) for r in files.read_keys(spark, f"{tmp_path}/k_uint64").collect()] == sorted(keys)
-    (tmp_path / "bad").write_bytes(struct.pack("<QQ", 2, 1))
+    (tmp_path / "bad_uint64").write_bytes(struct.pack("<QQ", 2, 1))
     with pytest.raises(Exception, match="header says"):
-        files.read_keys(spark, f"{tmp_path}/bad").collect()
+        files.read_keys(spark, f"{tmp_path}/bad_uint64").collect()
 
 
 def test_monitor(spark):
