@@ -29,6 +29,17 @@ def neighbour_distance(df: DataFrame, key: str, col: str, k: int, block: int = B
     return least.select("id", F.round(F.aggregate("d", F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size("d"), F.lit(0)), 6).alias("unc"))
 
 
+def rank_scores(df: DataFrame, query: str, key: str, col: str) -> DataFrame:
+    """query, key, rk, rk2, rk4, ln_exp: the place of each plan among its query's, from 1, and the scores that training makes of it.
+
+    Ranks beyond 55,108 are an error, as in SQL: their fourth power has no 64-bit integer. Null values come last, as there.
+    """
+    by = Window.partitionBy(query).orderBy(F.col(col).asc_nulls_last(), F.col(key).asc_nulls_last())
+    rk = F.col("rk").cast("long")  # row_number() is an int, whose fourth power ends at rank 215
+    ranked = df.select(query, key, F.row_number().over(by).alias("rk"))
+    return ranked.select(query, key, "rk", (rk * rk).alias("rk2"), (rk * rk * rk * rk).alias("rk4"), F.round(F.log(F.exp(F.least(rk, F.lit(700)).cast("double"))), 6).alias("ln_exp"))
+
+
 T = Twins()
 _E = "WITH e AS (SELECT o_custkey AS q, o_orderpriority AS arm, o_totalprice AS lat, o_orderkey AS id FROM orders)"
 T.both("exp_unexecuted", _E + ", arms AS (SELECT DISTINCT arm FROM e), qs AS (SELECT DISTINCT q FROM e) SELECT qs.q, count(*) AS missing FROM qs CROSS JOIN arms LEFT JOIN e ON e.q = qs.q AND e.arm = arms.arm WHERE e.id IS NULL GROUP BY 1")
@@ -38,7 +49,7 @@ T.both("exp_arm_choice", _E + ", p AS (SELECT q, arm, avg(lat) AS pred FROM e GR
 T.both("exp_hint_fallback", _E + ", p AS (SELECT q, min(lat) AS best, min_by(lat, id) AS base, coalesce(stddev_pop(lat), 0) / avg(lat) AS unc FROM e GROUP BY q) SELECT q, CASE WHEN best < base AND unc < 0.6 AND base > 100 THEN 'hint' ELSE 'base' END AS choice FROM p")
 T.both("card_swing", "SELECT n_regionkey, f, round(count(*) * f, 6) AS card FROM nation CROSS JOIN (SELECT 0.01e0 AS f UNION ALL SELECT 0.1e0 UNION ALL SELECT 1e0 UNION ALL SELECT 10e0 UNION ALL SELECT 100e0) s GROUP BY 1, 2")
 T.both("card_restore", "WITH c AS (SELECT n_regionkey AS k, count(*) * 10 AS card FROM nation GROUP BY 1), o AS (SELECT n_regionkey AS k, count(*) AS card FROM nation GROUP BY 1) SELECT c.k, coalesce(o.card, c.card) AS card FROM c LEFT JOIN o ON c.k = o.k")
-T.both("rank_score", "WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS rk FROM customer) SELECT c_custkey, CAST(rk AS INT) AS rk, CAST(rk * rk AS BIGINT) AS rk2, CAST(rk * rk * rk * rk AS BIGINT) AS rk4, round(ln(exp(CAST(least(rk, 700) AS DOUBLE))), 6) AS ln_exp FROM r")
+T.frame("rank_score", lambda s, d: rank_scores(s.read.parquet(f"{d}/customer.parquet"), "c_nationkey", "c_custkey", "c_acctbal").drop("c_nationkey"), "WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS rk FROM customer) SELECT c_custkey, CAST(rk AS INT) AS rk, CAST(rk * rk AS BIGINT) AS rk2, CAST(rk * rk * rk * rk AS BIGINT) AS rk4, round(ln(exp(CAST(least(rk, 700) AS DOUBLE))), 6) AS ln_exp FROM r")
 T.both("group_plans", _E + " SELECT q, count(DISTINCT arm) AS plans FROM e GROUP BY q HAVING count(DISTINCT arm) > 1")
 T.frame("knn_uncertainty", lambda s, d: neighbour_distance(s.read.parquet(f"{d}/supplier.parquet"), "s_suppkey", "s_acctbal", 10), "WITH a AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier WHERE s_acctbal IS NOT NULL), d AS (SELECT p.id, abs(p.x - n.x) AS dist, row_number() OVER (PARTITION BY p.id ORDER BY abs(p.x - n.x), n.id) AS k FROM a p LEFT JOIN a n ON p.id <> n.id) SELECT id, round(avg(dist), 6) AS unc FROM d WHERE k <= 10 GROUP BY id")
 

@@ -83,6 +83,17 @@ def test_metadata(spark):
     assert m.joins == {("a.k", "=", "b.k"), ("b.q", "=", "p.q")} and m.predicates == {("a.z", "<", "5")}
 
 
+def test_rank_scores_beyond_32_bits(spark, tmp_path):
+    """Ranks whose fourth power passes 32 bits, and balances that are null (last in SQL)."""
+    spark.range(50_000).selectExpr("id c_custkey", "cast(id < 300 as int) c_nationkey", "if(id % 100 = 7, null, -id / 2D) c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["rank_score"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.sql(registry.oracles()["rank_score"])
+    assert _rows(got.collect(), got.columns) == _rows(want.fetchall(), want.columns)
+    assert got.orderBy("rk").tail(1)[0].rk4 == 49_700**4
+
+
 def test_files(spark, tmp_path):
     nation = spark.read.parquet(f"{SF}/nation.parquet")
     files.write_delimited(nation, f"{tmp_path}/n", "|")
