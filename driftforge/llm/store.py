@@ -1,22 +1,23 @@
 """Operator 3: a content-addressed store of token ids.
 
 Ids are cut into chunks where a rolling hash of 16 ids says so, so equal passages give equal chunks wherever they stand.
+No cut is nearer than LEAST ids to the one before, so a word or line said over and over makes no chunk a saying.
 A chunk is addressed by a digest of its bytes and stored once, with the first row that has it. The store is three tables:
 
   documents   in ascending doc_id order, in parts of about PART ids (rows are dealt by the ids before them, so parts
               are even however doc_ids are spread):
               part, start, n_tokens   place in the whole id stream
               recipe                  16-byte digests of the chunks, in order; sizes: ids in each, 32-bit
-              owned                   a byte for each chunk: 1 if its ids are in this row's payload
+              owned                   a byte for each chunk: 1 if its ids are in this row's payload, 2 if other rows use them too
               payload                 the owned chunks' ids, little-endian 16-bit
               root                    Merkle root over the recipe's digests
   manifest    of each part: first start, documents, ids, and the Merkle root over its rows in order
   root        documents, ids and the Merkle root over the parts, checked at writing against the sums of the input
 
 Reading checks the manifest against the root, every part against the manifest, every recipe against its root and every
-payload against its digests: a lost, added or altered file, row or chunk is an error. What a document's ids are worth
-(crc32) is put together from its chunks' values, so chunks of other documents cross the network as digests and sums,
-not as ids.
+payload against its digests: a lost, added or altered file, row or chunk is an error. A document that holds all its
+chunks gets its crc32 from its ids at once. For others it is put together from their chunks' values, so chunks of other
+documents cross the network as digests and sums, not as ids; what several rows lack alike is asked for once.
 
 Edge cases: null text is empty: one id, the end; null doc_id sorts last and stays null; rows that repeat a doc_id are
 documents of their own, in the order of their hashes; identical rows share all chunks but have their own starts; a very
@@ -42,8 +43,10 @@ from driftforge.llm.encode import encoder
 
 END = 2
 ROLL = 16
-#: Ids of a chunk on average (a power of two) and at most.
-MEAN, MOST = 256, 2048
+#: Ids of a chunk on average (a power of two; of what follows the least), at most and at least (but for a row's last).
+MEAN, MOST, LEAST = 256, 2048, 32
+#: In `owned`.
+OWN, SHARED = 1, 2
 #: Ids of a part, unless that makes more than PARTS of them.
 PART, PARTS = 1 << 23, 1 << 20
 
@@ -84,6 +87,18 @@ class Merkle:
         return digest(b"") if odd is None else odd
 
 
+def _spaced(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of the cuts (ascending; begin: where each one's stream begins) those that are LEAST ids from the last that is kept."""
+    if not (at - np.maximum(begin, np.concatenate(([0], at[:-1]))) < LEAST).any():
+        return at
+    kept, last = [], 0
+    for x, b in zip(at.tolist(), begin.tolist(), strict=True):
+        if x - max(last, b) >= LEAST:
+            kept.append(x)
+            last = x
+    return np.array(kept, np.int64)
+
+
 def chunk_ends(streams: list[bytes]) -> list[list[int]]:
     """Ends of the chunks of each stream of 16-bit ids, streams hashed side by side."""
     n = np.array([len(x) // 2 for x in streams], np.int64)
@@ -94,7 +109,8 @@ def chunk_ends(streams: list[bytes]) -> list[list[int]]:
         at = np.flatnonzero((gram_hashes(ids.astype(np.uint64), ROLL) & np.uint64(MEAN - 1)) == 0) + ROLL
         # the hashed ids belong to one stream
         of = np.searchsorted(stop, at - 1, "right")
-        at = at[at - ROLL >= (stop - n)[of]]
+        inside = at - ROLL >= (stop - n)[of]
+        at = _spaced(at[inside], (stop - n)[of[inside]])
     ends = np.unique(np.concatenate((at, stop)))
     begin = np.concatenate(([0], ends[:-1]))
     if (ends - begin).max(initial=0) > MOST:
@@ -103,48 +119,45 @@ def chunk_ends(streams: list[bytes]) -> list[list[int]]:
     return [(ends[a:b] - s).tolist() for a, b, s in zip(cut_[:-1], cut_[1:], stop - n, strict=True)]
 
 
-# crc32 of joined pieces: the first piece's value is carried over the second's zeros, a linear map of 32 bits
+# crc32 of joined pieces: each piece's value is carried over the zeros after it, a linear map of 32 bits
+
 
+@cache
+def _over(k: int) -> np.ndarray:
+    """The map over 2**k zero bytes, as four tables of 256."""
+    v = np.arange(256, dtype=np.uint32)
+    if k == 0:
+        first = v
+        for _ in range(8):
+            first = (first >> np.uint32(1)) ^ np.uint32(0xEDB88320) * (first & np.uint32(1))
+        return np.stack([first, v, v << np.uint32(8), v << np.uint32(16)])
+    return _carried(_over(k - 1), _over(k - 1))
 
-def _times(m: list[int], v: int) -> int:
-    out, i = 0, 0
-    while v:
-        if v & 1:
-            out ^= m[i]
-        v >>= 1
-        i += 1
-    return out
 
+def _carried(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return tables[0][x & 255] ^ tables[1][x >> 8 & 255] ^ tables[2][x >> 16 & 255] ^ tables[3][x >> 24]
 
-@cache
-def _over(n: int) -> list[list[int]]:
-    """The map over n zero bytes, as four tables of 256."""
-    odd = [0xEDB88320] + [1 << i for i in range(31)]  # over one zero bit
-    m, have = odd, [1 << i for i in range(32)]
-    for _ in range(3):
-        m = [_times(m, x) for x in m]
-    while n:
-        if n & 1:
-            have = [_times(m, x) for x in have]
-        m = [_times(m, x) for x in m]
-        n >>= 1
-    tables = []
-    for t in range(4):
-        row = [0]
-        for bit in have[8 * t : 8 * t + 8]:
-            row += [x ^ bit for x in row]
-        tables.append(row)
-    return tables
+
+def crcs_join(values: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """crc32 of each run of pieces, from all pieces' crc32 and bytes in order; begin: the first piece of each run, which has one at least."""
+    stop = np.cumsum(sizes, dtype=np.int64)
+    end = np.append(begin[1:], len(sizes)) - 1
+    after = np.repeat(stop[end], end + 1 - begin) - stop
+    out = values.astype(np.uint32)
+    for k in range(int(after.max(initial=0)).bit_length()):
+        far = np.flatnonzero(after >> k & 1)
+        out[far] = _carried(_over(k), out[far])
+    return np.bitwise_xor.reduceat(out, begin) if len(begin) else out[:0]
 
 
 def crc_join(parts: list[tuple[int, int]]) -> int:
     """parts: (crc32, bytes) in order."""
-    crc = 0
-    for value, n in parts:
-        if n:
-            a, b, c, d = _over(n)
-            crc = a[crc & 255] ^ b[crc >> 8 & 255] ^ c[crc >> 16 & 255] ^ d[crc >> 24] ^ value
-    return crc
+    return int(crcs_join(*np.array(parts, np.int64).T, np.zeros(1, np.int64))[0]) if parts else 0
+
+
+def _wide(ids: bytes) -> bytes:
+    """16-bit ids as 32-bit ids."""
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def _encoded(docs: DataFrame, tokenizer: str | None) -> DataFrame:
@@ -168,10 +181,10 @@ def _encoded(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, did long, rk long, ids binary, recipe binary, sizes binary, n_tokens long")
 
 
-def _digests(recipe: str = "recipe") -> F.Column:
+def _digests(recipe: str = "recipe", width: int = 16) -> F.Column:
     """recipe -> array of digests."""
-    n = (F.octet_length(recipe) / 16).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(recipe), i * 16 + 1, 16))
+    n = (F.octet_length(recipe) / width).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(recipe), i * width + 1, width))
 
 
 def with_starts(sizes: DataFrame) -> DataFrame:
@@ -187,8 +200,8 @@ def with_starts(sizes: DataFrame) -> DataFrame:
     return running.join(before, "range").select("did", "rk", "no", "n_tokens", (F.col("own") + F.col("before")).alias("start"))
 
 
-_ROW = [("part", pa.int32()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("own", pa.list_(pa.binary())), ("ids", pa.binary()), ("recipe", pa.binary()), ("sizes", pa.binary())]
-_ROW_DDL = "part int, did long, rk long, no long, doc_id long, start long, n_tokens long, own array<binary>, ids binary, recipe binary, sizes binary"
+_ROW = [("part", pa.int32()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("own", pa.list_(pa.binary())), ("shared", pa.list_(pa.binary())), ("ids", pa.binary()), ("recipe", pa.binary()), ("sizes", pa.binary())]
+_ROW_DDL = "part int, did long, rk long, no long, doc_id long, start long, n_tokens long, own array<binary>, shared array<binary>, ids binary, recipe binary, sizes binary"
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -203,7 +216,7 @@ def _dealt(encoded: DataFrame, bounds: np.ndarray) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             part = np.searchsorted(shared.value, _keys(np.stack([ints(b, c) for c in ("did", "rk", "no")])), "right")
-            new = {"start": pa.nulls(b.num_rows, pa.int64()), "own": pa.nulls(b.num_rows, pa.list_(pa.binary())), "part": pa.array(part, pa.int32())}
+            new = {"start": pa.nulls(b.num_rows, pa.int64()), "own": (none := pa.nulls(b.num_rows, pa.list_(pa.binary()))), "shared": none, "part": pa.array(part, pa.int32())}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(b.schema.get_field_index(n)) for n, _ in _ROW], schema=pa.schema(_ROW))
 
     return encoded.mapInArrow(run, _ROW_DDL)
@@ -251,8 +264,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
     part = max(part, -(-total.t // PARTS))
     parts = max(1, -(-total.t // part))
     chunks = light.select("no", F.explode(_digests()).alias("digest"))
-    # a chunk that only one row has needs no word to it; the others hear which of theirs they own
-    owned = chunks.groupBy("digest").agg(F.min("no").alias("no")).groupBy("no").agg(F.collect_list("digest").alias("own"))
+    # rows hear which of their chunks they own, and which of these other rows have too
+    first = chunks.groupBy("digest").agg(F.min("no").alias("no"), F.max("no").alias("last"))
+    owned = first.groupBy("no").agg(F.collect_list("digest").alias("own"), F.collect_list(F.when(F.col("last") > F.col("no"), F.col("digest"))).alias("shared"))
     kept = told = cut(with_starts(light.select("did", "rk", "no", "n_tokens")).join(owned, "no", "left").withColumn("part", F.floor(F.col("start") / part).cast("int")), "told")
     first = told.groupBy("part").agg(F.min(F.struct("did", "rk", "no")).alias("x")).orderBy("part").collect()  # at most PARTS rows
     bounds = np.array([[r.x.did, r.x.rk, r.x.no] for r in first[1:]], np.int64).reshape(-1, 3).T
@@ -266,16 +280,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
             out: dict[str, list] = {f.name: [] for f in schema}
             for i, key in enumerate(zip(cols["did"], cols["rk"], cols["no"], strict=True)):
                 if cols["start"][i] is not None:  # what a row is told comes just before it
-                    told_of = {key: (cols["start"][i], cols["own"][i], cols["part"][i])}
+                    told_of = {key: (cols["start"][i], cols["own"][i], cols["shared"][i], cols["part"][i])}
                     continue
-                start, own, at = told_of.pop(key)
+                start, own, shared, at = told_of.pop(key)
                 ids, recipe, sizes = cols["ids"][i], cols["recipe"][i], cols["sizes"][i]
                 ends = 2 * np.cumsum(np.frombuffer(sizes, "<u4")).astype(np.int64)
                 names = [recipe[k : k + 16] for k in range(0, len(recipe), 16)]
                 mark = np.zeros(len(ends), np.uint8)
                 if own:
                     place = dict(zip(reversed(names), range(len(names) - 1, -1, -1), strict=True))  # of equal chunks the first
-                    mark[[place[x] for x in own]] = 1
+                    mark[[place[x] for x in own]] = OWN
+                    mark[[place[x] for x in shared]] = SHARED
                 payload = b"".join(ids[(ends[k - 1] if k else 0) : ends[k]] for k in np.flatnonzero(mark).tolist())
                 root = merkle(names)
                 for name, v in zip(out, (cols["doc_id"][i], at, start, cols["n_tokens"][i], recipe, sizes, mark.tobytes(), payload, root), strict=True):
@@ -285,7 +300,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
     # the ids are shuffled once: rows and what they are told meet in their part, each next to the other in order
     if list(numbers) != list(numbers.values()):
         told = told.join(F.broadcast(spark.createDataFrame(list(numbers.items()), "part int, k int")), "part").drop("part").withColumnRenamed("k", "part")
-    said = told.select("part", "did", "rk", "no", F.lit(None).cast("long").alias("doc_id"), "start", "n_tokens", "own", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "recipe", "sizes")])
+    said = told.select("part", "did", "rk", "no", F.lit(None).cast("long").alias("doc_id"), "start", "n_tokens", "own", "shared", *[F.lit(None).cast("binary").alias(c) for c in ("ids", "recipe", "sizes")])
     rows = _dealt(encoded, bounds).union(said).repartitionById(max(1, len(numbers)), F.col("part"))
     rows = rows.sortWithinPartitions("did", "rk", "no", F.col("start").isNull())
     ddl = "doc_id long, part int, start long, n_tokens long, recipe binary, sizes binary, owned binary, payload binary, root binary"
@@ -314,10 +329,12 @@ def _against_manifest(spark: SparkSession, seen: DataFrame, path: str) -> None:
         raise ValueError(f"parts {sorted(r.part for r in bad)} fail the manifest: documents were lost, added or changed")
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the files alone; whatever fails its check is an error."""
-    ddl = "doc_id long, part int, start long, n_tokens long, root binary, digests array<binary>, sizes array<int>, crcs array<long>"
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64()))])
+def _verified(rows: DataFrame) -> DataFrame:
+    """The rows of path/documents without their ids, once these have passed their checks."""
+    # of rows that lack chunks: sizes and crcs (32-bit) of all chunks; slots: which of those it lacks each is, or -1; the
+    # digests of these and a digest of them all. offers: digest, crc32 and size of each chunk that others use
+    ddl = "doc_id long, part int, start long, n_tokens long, root binary, ids_crc32 long, sizes binary, crcs binary, slots binary, lacks binary, want binary, offers binary"
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("ids_crc32", pa.int64()), *[(c, pa.binary()) for c in ("sizes", "crcs", "slots", "lacks", "want", "offers")]])
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -326,44 +343,79 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 names = [recipe[i : i + 16] for i in range(0, len(recipe), 16)]
                 if merkle(names) != root:
                     raise ValueError(f"recipe of document {d} fails its root")
-                counts, crcs, at = np.frombuffer(sizes, "<u4").tolist(), [], 0
-                wide = memoryview(np.frombuffer(payload[: len(payload) & ~1], "<u2").astype("<u4").tobytes())
+                counts, at = np.frombuffer(sizes, "<u4").tolist(), 0
+                pieces: dict[bytes, bytes] = {}
+                lacks: dict[bytes, int] = {}
+                offers = []
                 for name, size, own in zip(names, counts, owned, strict=True):
                     if own:
-                        piece = payload[at : at + 2 * size]
+                        pieces[name] = piece = payload[at : at + 2 * size]
                         at += 2 * size
                         if digest(piece) != name:
                             raise ValueError(f"a chunk of document {d} fails its digest")
-                        crcs.append(zlib.crc32(wide[2 * at - 4 * size : 2 * at]))
-                    else:
-                        crcs.append(None)
+                        if own == SHARED:
+                            offers.append(name + struct.pack("<II", zlib.crc32(_wide(piece)), size))
+                    elif name not in pieces:
+                        lacks.setdefault(name, len(lacks))
+                    elif len(pieces[name]) != 2 * size:
+                        raise ValueError(f"a chunk of document {d} fails its digest")
                 if at != len(payload):
                     raise ValueError(f"document {d} holds more than its chunks")
-                for key, v in zip(out, (d, p, start, n, root, names, counts, crcs), strict=True):
+                if sum(counts) != n:
+                    raise ValueError(f"document {d} lacks chunks")
+                if lacks:
+                    known = {x: zlib.crc32(_wide(piece)) for x, piece in pieces.items()}
+                    wanted = b"".join(lacks)
+                    crc, rest = None, (sizes, np.array([known.get(x, 0) for x in names], "<u4").tobytes(), np.array([lacks.get(x, -1) for x in names], "<i4").tobytes(), wanted, digest(wanted))
+                else:
+                    ids = payload if len(pieces) == len(names) else b"".join([pieces[x] for x in names])
+                    crc, rest = zlib.crc32(_wide(ids)), (None,) * 5
+                for key, v in zip(out, (d, p, start, n, root, crc, *rest, b"".join(offers) or None), strict=True):
                     out[key].append(v)
             yield from arrow_rows(out, schema)
 
+    return rows.select("doc_id", "part", "start", "n_tokens", "recipe", "sizes", "owned", "payload", "root").mapInArrow(verify, ddl)
+
+
+def _asked(seen: DataFrame) -> DataFrame:
+    """want, i, digest: the chunks of each list that some rows lack; a list that many lack is there once."""
+    lists = seen.where("want is not null").groupBy("want").agg(F.first("lacks").alias("lacks"))
+    return lists.select("want", F.posexplode(_digests("lacks")).alias("i", "digest"))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, from the files alone; whatever fails its check is an error."""
+
     def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for b in it:
-            out: dict[str, list] = {f.name: [] for f in end}
-            for d, start, n, sizes, crcs, other in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                for x in other or ():
-                    crcs[x["i"]] = x["crc"]
-                if sum(sizes) != n or None in crcs:
+            if not b.num_rows:
+                continue
+            cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            sizes, crcs, begin = [], [], []
+            for d, size, crc, slot, got in zip(*(cols[n] for n in ("doc_id", "sizes", "crcs", "slots", "got")), strict=True):
+                size, crc, slot = np.frombuffer(size, "<u4"), np.frombuffer(crc, "<u4").copy(), np.frombuffer(slot, "<i4")
+                told = np.zeros((slot.max() + 1, 2), np.uint32)
+                for x in got or ():
+                    told[x["i"]] = struct.unpack("<II", x["offer"])
+                mine = slot >= 0
+                if len(got or ()) != len(told) or (told[slot[mine], 1] != size[mine]).any():
                     raise ValueError(f"document {d} lacks chunks")
-                for key, v in zip(out, (d, start, n, crc_join([(c, 4 * s) for c, s in zip(crcs, sizes, strict=True)])), strict=True):
-                    out[key].append(v)
-            yield from arrow_rows(out, end)
-
-    rows = spark.read.parquet(f"{path}/documents").select("doc_id", "part", "start", "n_tokens", "recipe", "sizes", "owned", "payload", "root")
-    seen = cut(rows.mapInArrow(verify, ddl), "seen")
+                crc[mine] = told[slot[mine], 0]
+                begin.append(len(size))
+                sizes.append(size)
+                crcs.append(crc)
+            at = np.concatenate(([0], np.cumsum(begin)[:-1]))
+            worth = crcs_join(np.concatenate(crcs), 4 * np.concatenate(sizes).astype(np.int64), at)
+            yield from arrow_rows({n: cols[n] for n in ("doc_id", "start", "n_tokens")} | {"ids_crc32": worth.astype(np.int64)}, end)
+
+    seen = cut(_verified(spark.read.parquet(f"{path}/documents")), "seen")
     _against_manifest(spark, seen, path)
-    each = seen.select("start", F.posexplode(F.arrays_zip("digests", "crcs")).alias("i", "c")).select("start", "i", "c.digests", "c.crcs")
-    have = each.where("crcs is not null").select("digests", F.col("crcs").alias("crc"))
-    lacks = each.where("crcs is null").select("start", "i", "digests")
-    found = lacks.join(have, "digests").groupBy("start").agg(F.collect_list(F.struct("i", "crc")).alias("other"))
-    return seen.join(found, "start", "left").select("doc_id", "start", "n_tokens", "sizes", "crcs", "other").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    offered = seen.where("offers is not null").select(F.explode(_digests("offers", 24)).alias("x")).select(F.substring("x", 1, 16).alias("digest"), F.substring("x", 17, 8).alias("offer"))
+    # written, so that the rows of a list that very many lack can be dealt out when they hear of it
+    found = cut(_asked(seen).join(offered, "digest").groupBy("want").agg(F.collect_list(F.struct("i", "offer")).alias("got")), "found")
+    heard = seen.where("want is not null").join(found, "want", "left").select("doc_id", "start", "n_tokens", "sizes", "crcs", "slots", "got").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return seen.where("want is null").select("doc_id", "start", "n_tokens", "ids_crc32").union(heard)
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

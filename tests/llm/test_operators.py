@@ -332,6 +332,28 @@ def test_crc_join_and_chunks():
     assert len({e + 777 for e in one} & set(two)) > 0.9 * len(one) and one[-1] == 30_000
 
 
+def test_repeated_words_make_no_chunk_each():
+    """Streams of two ids over and over: where the rolling hash cuts at all, it would cut every other id."""
+    for a in range(400):
+        ids = np.array([a, a + 1] * 1000 + [2], "<u2").tobytes()
+        before, ends = store.chunk_ends([b"\1\0" * 5, ids])
+        assert before == [5] and ends[-1] == 2001 and len(ends) <= 2001 // 32 + 1
+
+
+def test_copies_ask_for_their_chunks_once(spark, encoder, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    long = " ".join(word() for _ in range(1500))
+    texts = [long] * 40 + [f"{word()} {long}" for _ in range(3)] + [f"{word()} " * 900] * 2
+    store.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), f"file://{tmp_path}/store")
+    rows = spark.read.parquet(f"file://{tmp_path}/store/documents")
+    chunks = max(len(r.recipe) // 16 for r in rows.collect())
+    assert 10 < chunks and chunks <= store._asked(store._verified(rows)).count() < 6 * chunks
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in store.read_store(spark, f"file://{tmp_path}/store").collect()}
+    ids = [[*encoder.tool.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_packing(docs, rows, encoder):
     got = packing.pack(docs).collect()
     assert sum(r.start == 0 for r in got) == len(rows)
