@@ -204,6 +204,12 @@ _ROW = [("part", pa.int32()), ("did", pa.int64()), ("rk", pa.int64()), ("no", pa
 _ROW_DDL = "part int, did long, rk long, no long, doc_id long, start long, n_tokens long, own array<binary>, shared array<binary>, ids binary, recipe binary, sizes binary"
 
 
+def _lists(column: pa.ListArray) -> list[list]:
+    """to_pylist() of a column of lists, faster; null lists are empty."""
+    values, at = column.values.to_pylist(), column.offsets.to_pylist()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _keys(rows: np.ndarray) -> np.ndarray:
     """Columns did, rk, no -> strings of 24 bytes in the same order."""
     return np.ascontiguousarray((rows.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").T).view("S24").ravel()
@@ -276,7 +282,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
     def build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told_of: dict[tuple, tuple] = {}
         for b in it:
-            cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            cols = {n: (_lists(c) if n in ("own", "shared") else c.to_pylist()) for n, c in zip(b.schema.names, b.columns, strict=True)}
             out: dict[str, list] = {f.name: [] for f in schema}
             for i, key in enumerate(zip(cols["did"], cols["rk"], cols["no"], strict=True)):
                 if cols["start"][i] is not None:  # what a row is told comes just before it
@@ -291,7 +297,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, part:
                     place = dict(zip(reversed(names), range(len(names) - 1, -1, -1), strict=True))  # of equal chunks the first
                     mark[[place[x] for x in own]] = OWN
                     mark[[place[x] for x in shared]] = SHARED
-                payload = b"".join(ids[(ends[k - 1] if k else 0) : ends[k]] for k in np.flatnonzero(mark).tolist())
+                payload = ids if mark.all() else b"".join(ids[(ends[k - 1] if k else 0) : ends[k]] for k in np.flatnonzero(mark).tolist())
                 root = merkle(names)
                 for name, v in zip(out, (cols["doc_id"][i], at, start, cols["n_tokens"][i], recipe, sizes, mark.tobytes(), payload, root), strict=True):
                     out[name].append(v)
