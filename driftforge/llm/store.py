@@ -31,6 +31,7 @@ import zlib
 from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -168,8 +169,9 @@ def _encoded(docs: DataFrame, tokenizer: str | None) -> DataFrame:
         for b in it:
             out: dict[str, list] = {f.name: [] for f in schema}
             texts, keys = blobs(b, "text"), list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
+            made = enc.all_ids(texts)
             for at in range(0, len(texts), 64):
-                raws = [enc.ids(x) + END.to_bytes(2, "little") for x in texts[at : at + 64]]
+                raws = [x + END.to_bytes(2, "little") for x in islice(made, 64)]
                 for (d, k, r), raw, ends in zip(keys[at : at + 64], raws, chunk_ends(raws), strict=True):
                     begin = [0, *ends[:-1]]
                     recipe = b"".join([digest(raw[2 * s : 2 * e]) for s, e in zip(begin, ends, strict=True)])

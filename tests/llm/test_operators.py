@@ -255,6 +255,35 @@ def test_encoder_is_the_tokenizer(encoder):
         assert encoder.tool.encode(x, add_special_tokens=False).ids == np.frombuffer(encoder.ids(x.encode()), "<u2").tolist()
 
 
+def test_many_texts_are_encoded_at_once(encoder):
+    """Ids are the tokenizer's; each different word is looked up once for many texts; words of letters need no call each."""
+    rng = random.Random(6)
+    letters = "aaZzeéÉñßſİıĲŉǅȺΣ'’,.$<|0１²́ \x1c\x85日\n\t\v"
+    texts = ["", " \n", "a", "b" * 47, "b" * 48, "b" * 49, "é" * 24, "é" * 25, "é" * 24 + ",", "x" * 5000, "Ab<|endoftext|>Cd eF", "Eé, eÉ. EÉ"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += [" ".join("".join(rng.choice("theinoatré") for _ in range(rng.randint(1, 40))) + rng.choice(["", ",", "$$$"]) for _ in range(20)) for _ in range(150)]
+    want = [encoder.tool.encode(x, add_special_tokens=False).ids for x in texts]
+    for together, bound, merges in ((1 << 20, 600_000, True), (300, 600_000, True), (300, 50, True), (1 << 20, 600_000, False)):
+        enc = Encoder()
+        enc.together, enc.bound = together, bound
+        enc.merges = enc.merges if merges else None
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2").tolist() for x in enc.all_ids([x.encode() for x in texts])] == want
+    assert list(encoder.all_ids([])) == []
+
+    class Counted(Encoder):
+        asked = 0
+
+        def get(self, *word):
+            self.asked += 1
+            return super().get(*word)
+
+    enc = Counted()
+    enc.model = None
+    got = list(enc.all_ids([b"some words Some,\n" * 500, b"words some"] * 20))
+    assert enc.asked <= 4 and got[1] == encoder.ids(b"words some") and got[0] == encoder.ids(b"some words Some,\n") * 500
+
+
 def test_token_store(spark, docs, rows, encoder, tmp_path):
     store.write_store(docs, f"file://{tmp_path}/store")
     got = store.read_store(spark, f"file://{tmp_path}/store").collect()
